@@ -35,7 +35,7 @@ class Shape:
         return self.words * 8
 
     def fpp(self, n: int) -> float:
-        return (1 - math.exp(-self.k * n / self.m)) ** self.k
+        return (1 - (1 - 1 / self.m) ** (self.k * n)) ** self.k
 
     def expected_bits(self, n: int) -> float:
         kn = self.k * n

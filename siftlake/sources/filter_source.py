@@ -1,7 +1,8 @@
 """A data source on whose filter column ``=`` means *contains*: spark.read.format("bloom").option("path", ...).
 
 The predicate ``filter = X'...'`` is taken over by the reader and answered by a vectorised test, so that Spark doesn't
-evaluate it again; all others are left to Spark. Ordinary tables keep ordinary equality.
+evaluate it again; all others are left to Spark. Ordinary tables keep ordinary equality. Load anew for each query: a
+session keeps what was pushed into a loaded frame.
 """
 
 from __future__ import annotations
