@@ -1,7 +1,60 @@
-"""The corpus pipeline (stages follow)."""
-STAGES = []
+"""The corpus pipeline: quality, line dedup, near-dedup, mixing, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns
+of documents. ``run`` writes each stage's rows to the shared scratch folder and reads them for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftlake.llm.bpe import decode, encode
+from siftlake.llm.common import materialise, read
+from siftlake.llm.line_dedup import line_dedup
+from siftlake.llm.mixing import in_order, mix
+from siftlake.llm.quality import classify, quality_model
+from siftlake.llm.simhash import near_dedup_any
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the table's own labels, doesn't reject."""
+    return classify(docs.select(*COLUMNS), quality_model(spark, sf_dir)).where("predicted = 1").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the lines that others hold, too; n_chars follows the text."""
+    kept = line_dedup(docs.select(*COLUMNS))
+    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that near fingerprints connect, that of the smallest id."""
+    return near_dedup_any(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The copies that the mix reads, in training order; a document may come twice or, beyond its source's target, not at all."""
+    return in_order(mix(docs.select(*COLUMNS))).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether they decode to it."""
+    out = decode(encode(docs.select(*COLUMNS)))
+    exact = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return out.select("doc_id", "source", "n_tokens", "token_ids", exact.alias("round_trip"))
+
+
+STAGES = [("quality", quality), ("line dedup", lines), ("near-dedup", near_copies), ("mixing", mixture), ("bpe", tokens)]
+
+#: SQL can't express the classifier, the fingerprints or the merges; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from siftlake.llm.components import components
-from siftlake.llm.simhash import fingerprint, forest, near_dedup, near_links, op3_simhash, walk
+from siftlake.llm.simhash import fingerprint, forest, near_dedup, near_dedup_any, near_links, op3_simhash, walk, word_fingerprints
 
 
 def plain(text, words=3):
@@ -81,11 +81,12 @@ def test_forest():
 def test_links_connect_as_brute_force(spark):
     v = crowded(1500, 4)
     want = reach([int(x) for x in v])
-    df = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fingerprint long")
-    links = [(np.int64(r["u"]).view(np.uint64), np.int64(r["v"]).view(np.uint64)) for r in near_links(df, 3, most=64).collect()]
+    df = spark.createDataFrame([(s, int(x)) for x in v.view(np.int64) for s in (0, 1)], "seed int, fingerprint long")
+    both = near_links(df, 3, most=64).collect()
+    assert sorted((r["u"], r["v"]) for r in both if r["seed"]) == sorted((r["u"], r["v"]) for r in both if not r["seed"])
+    links = [(np.int64(r["u"]).view(np.uint64), np.int64(r["v"]).view(np.uint64)) for r in both if r["seed"]]
     assert len(links) < 40 * len(v)
     at = {int(x): i for i, x in enumerate(v)}
-    assert all((int(u) ^ int(w)).bit_count() <= 64 for u, w in links)
     x, y = (np.array([at[int(p[k])] for p in links]) for k in (0, 1))
     assert forest(len(v), iter([(x, y)])).tolist() == want
 
@@ -104,7 +105,7 @@ def test_edges(spark):
     rows = [(5, base, "p"), (3, base, "p"), (9, base.upper(), None), (1, None, "p"), (2, "", "p"), (None, base, "p"), (7, "other text here", "p"), (7, "other text here", "p"), (8, base + " one more", "p"), (11, "x " * 50_000, "p")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string").withColumn("id", F.lit(0)).withColumn("label", F.lit("x"))
     got = near_dedup(docs)
-    assert sorted(got.columns) == ["component_id", "doc_id", "fingerprint", "id", "label", "text"]
+    assert sorted(got.columns) == ["component_id", "doc_id", "fingerprint", "id", "kept", "label", "text"]
     got = got.collect()
     assert len(got) == len(rows)
     prints = [plain(r["text"]) for r in got]
@@ -112,6 +113,8 @@ def test_edges(spark):
     for i, r in enumerate(got):
         assert int(r["fingerprint"], 16) == prints[i] and len(r["fingerprint"]) == 16
         assert r["component_id"] == min(x["doc_id"] for k, x in enumerate(got) if least[k] == least[i] and x["doc_id"] is not None)
+    assert sum(r["kept"] for r in got) == len(set(least))
+    assert all(r["doc_id"] == r["component_id"] for r in got if r["kept"])
     assert near_dedup(docs.limit(0)).count() == 0
 
 
@@ -121,3 +124,33 @@ def test_query(spark, sf_dir):
     prints = [plain(text[r["doc_id"]]) for r in got]
     assert [int(r["fingerprint"], 16) for r in got] == prints
     assert [r["component_id"] for r in got] == [got[i]["doc_id"] for i in reach(prints)]
+
+
+def test_any_of_several(spark):
+    """Near copies of long texts are one group, others stay; against brute force over all fingerprints."""
+    draw = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows = []
+    for g in range(12):
+        base = list(draw.choice(vocabulary, 250))
+        for c in range(1 + g % 4 * 3):
+            near = list(base)
+            for i in draw.integers(0, 250, 4 * bool(c)):
+                near[int(i)] = str(draw.choice(vocabulary))
+            rows.append((len(rows), " ".join(near), g))
+    n = len(rows)
+    rows += [(n, None, 90), (n + 1, "", 90), (None, "alone", 91), (n + 2, rows[1][1].upper(), rows[1][2]), (0, rows[0][1], rows[0][2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int").withColumn("component_id", F.lit("x"))
+    got = near_dedup_any(docs, most=16).collect()
+    prints = [word_fingerprints(r["text"], 8) for r in got]
+    root = list(range(len(got)))
+    for i in range(len(got)):
+        for j in range(i):
+            if (np.bitwise_count(prints[i] ^ prints[j]) <= 3).any():
+                old, new = sorted((root[i], root[j]), reverse=True)
+                root = [new if x == old else x for x in root]
+    for i, r in enumerate(got):
+        ids = [x["doc_id"] for k, x in enumerate(got) if root[k] == root[i] and x["doc_id"] is not None]
+        assert r["component_id"] == min(ids, default=None)
+    assert sum(r["kept"] for r in got) == len(set(root)) == len({r["label"] for r in got})
+    assert near_dedup_any(docs.limit(0)).count() == 0
