@@ -113,9 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     examples = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("__doc", "__label", "__text")
     got = sorted(((r["__doc"], r["__label"], r["features"]) for r in _featured(examples, "__text", ["__doc", "__label"]).orderBy("__doc").limit(2 * sample).collect()))
-    rows = np.array([g[2] for g in got]).reshape(len(got), -1)
-    if not len(got):
-        rows = np.zeros((0, len(features(""))))
+    rows = np.array([g[2] for g in got]).reshape(len(got), len(features("")))
     return fit(rows, np.array([g[1] for g in got]), **how)
 
 
