@@ -48,6 +48,22 @@ def key_text(position: Column, code: Column) -> Column:
     return F.format_string("IndexKey[%d, 0x%02x]", position, code)
 
 
+def entries(index: DataFrame, position: int, code: int | None = None) -> DataFrame:
+    """Index rows of one position, or of one (position, code): both reach the scan as predicates."""
+    rows = index.where(F.col("position") == position)
+    return rows if code is None else rows.where(F.col("code") == code)
+
+
+def index_value(key: Sequence[str]) -> Column:
+    """Position, code and key as one value."""
+    return F.struct("position", "code", *key)
+
+
+def key_bytes(position: Column, code: Column) -> Column:
+    """Position and code as two big-endian integers."""
+    return F.unhex(F.concat(F.lpad(F.hex(position), 8, "0"), F.lpad(F.hex(code), 8, "0")))
+
+
 def _none(index: DataFrame, key: Sequence[str]) -> DataFrame:
     return index.select(*key).where(F.lit(False))
 

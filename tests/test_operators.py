@@ -40,6 +40,13 @@ def test_golden_chunks(spark):
     assert [p for p, _ in C.target_chunks(data)][:3] == [2, 10, 4]
 
 
+def test_entries(spark):
+    index = C.chunks(table(spark, [{1}, {1, 9}, {9}]), ["k"])
+    assert found(C.entries(index, 0)) == [0, 1] and found(C.entries(index, 1, 2)) == [1, 2] and found(C.entries(index, 1, 3)) == []
+    r = C.entries(index, 1, 2).where("k = 2").select(C.index_value(["k"]).alias("v"), C.key_bytes(F.col("position"), F.col("code")).alias("b")).first()
+    assert tuple(r["v"]) == (1, 2, 2) and bytes(r["b"]) == bytes([0, 0, 0, 1, 0, 0, 0, 2])
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 127), max_size=24), min_size=1, max_size=10), st.sets(st.integers(0, 127), min_size=1, max_size=4))
 def test_all_paths_agree(spark, rows, wanted):
