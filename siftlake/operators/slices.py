@@ -19,7 +19,20 @@ def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
 
 
-def ranked(df: DataFrame, by: str, ranges: int = 512) -> DataFrame:
+def _range_of(by: str, cuts: list) -> Column:
+    """The number of ``cuts`` below the value: a binary search, written out as nested conditions."""
+
+    def tree(lo: int, hi: int) -> str:
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        cut = f"{cuts[mid]}L" if isinstance(cuts[mid], int) else f"{cuts[mid]!r}D"
+        return f"IF(`{by}` <= {cut}, {tree(lo, mid)}, {tree(mid + 1, hi)})"
+
+    return F.expr(tree(0, len(cuts)))
+
+
+def ranked(df: DataFrame, by: str, ranges: int = 128) -> DataFrame:
     """Add idx, 0, 1, 2 ... in the order of the column ``by``, whose values are unique.
 
     Rows are numbered within ranges of ``by`` and moved up by the rows of earlier ranges, so no task sees all rows.
@@ -27,9 +40,7 @@ def ranked(df: DataFrame, by: str, ranges: int = 512) -> DataFrame:
     """
     if df.schema[by].dataType.typeName() in ("long", "integer", "short", "byte", "double", "float"):
         cuts = df.agg(F.percentile_approx(by, [i / ranges for i in range(1, ranges)], 10_000).alias("c")).first()["c"] or []
-        literals = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-        part = F.size(F.filter(literals, lambda c: c < F.col(by)))
-        order = [F.col(by)]
+        part, order = _range_of(by, sorted(set(cuts))), [F.col(by)]
     else:
         part = F.conv(F.substring(F.md5(F.col(by).cast("string").cast("binary")), 1, 3), 16, 10).cast("int")
         order = [F.md5(F.col(by).cast("string").cast("binary")), F.col(by)]
@@ -83,21 +94,25 @@ def filters_back(matrix: DataFrame) -> DataFrame:
     return each.where(F.getbit("word", "at") == 1).select((F.col("block") * 64 + F.col("at")).alias("idx"), "bit")
 
 
-def allocate(live: DataFrame, new: DataFrame, by: str, ranges: int = 512) -> DataFrame:
+def allocate(live: DataFrame, new: DataFrame, by: str, ranges: int = 128) -> DataFrame:
     """(by, idx) for new keys: the lowest ids not in live(idx), in the order of ``by``, then ids after the highest.
 
-    The n-th new key takes the n-th free id. Free ids of the blocks in use come from their words; both sides are numbered
-    in parallel and joined on the number.
+    The n-th new key takes the n-th free id. A free id's number is the free ids of earlier groups of 4096 blocks, of
+    earlier blocks of its group, and of its own word before it, so no task counts them all.
     """
     words = busy(live)
-    top = words.agg(F.coalesce(F.max("block") + 1, F.lit(0)).alias("b")).first()["b"]
+    held = words.agg(F.coalesce(F.max("block") + 1, F.lit(0)).alias("blocks"), F.coalesce(F.sum(F.bit_count("word")), F.lit(0)).alias("live")).first()
+    top, many = held["blocks"], held["blocks"] * 64 - held["live"]
     blocks = live.sparkSession.range(top).select(F.col("id").alias("block")).join(words, "block", "left")
-    free = ids_in(blocks.select("block", F.bitwise_not(F.coalesce("word", F.lit(0).cast("long"))).alias("word")))
-    numbered = ranked(free.withColumnRenamed("idx", "free"), "free", ranges)
-    many = numbered.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    wanted = ranked(new, by, ranges)
-    out = wanted.join(numbered, "idx", "left")
-    return out.select(by, F.coalesce("free", F.lit(top * 64) + F.col("idx") - F.lit(many)).alias("idx"))
+    free = blocks.select("block", (F.col("block") / 4096).cast("long").alias("group"), F.bitwise_not(F.coalesce("word", F.lit(0).cast("long"))).alias("word")).withColumn("n", F.bit_count("word"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = free.groupBy("group").agg(F.sum("n").alias("n")).select("group", earlier(W.orderBy("group")).alias("before"))
+    starts = free.withColumn("within", earlier(W.partitionBy("group").orderBy("block"))).join(groups, "group")
+    clear = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("word", i) == 1)
+    numbered = starts.select("block", (F.col("before") + F.col("within")).alias("start"), F.posexplode(clear).alias("pos", "at"))
+    numbered = numbered.select((F.col("start") + F.col("pos")).alias("idx"), (F.col("block") * 64 + F.col("at")).alias("free"))
+    out = ranked(new, by, ranges).join(numbered, "idx", "left")
+    return out.select(by, F.coalesce("free", F.lit(top * 64 - many) + F.col("idx")).alias("idx"))
 
 
 def cardinality(words: DataFrame) -> DataFrame:
