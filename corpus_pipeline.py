@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm.bpe import decode, encode
+from siftlake.llm.bpe import encode
 from siftlake.llm.common import materialise, read
 from siftlake.llm.line_dedup import line_dedup
 from siftlake.llm.mixing import in_order, mix
@@ -42,9 +42,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to it."""
-    out = decode(encode(docs.select(*COLUMNS)))
-    exact = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return out.select("doc_id", "source", "n_tokens", "token_ids", exact.alias("round_trip"))
+    out = encode(docs.select("doc_id", "source", "text"), verify=True)
+    return out.select("doc_id", "source", "n_tokens", "token_ids", "round_trip")
 
 
 STAGES = [("quality", quality), ("line dedup", lines), ("near-dedup", near_copies), ("mixing", mixture), ("bpe", tokens)]

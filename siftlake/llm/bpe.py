@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,7 +193,7 @@ class Vocabulary:
 class _Merged(dict):
     """Pre-token to its packed ids. It is emptied when it holds ``most`` pre-tokens; long ones aren't kept."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 400_000, longest: int = 40):
+    def __init__(self, vocabulary: Vocabulary, most: int = 150_000, longest: int = 40):
         self.vocabulary, self.most, self.longest = vocabulary, most, longest
 
     def __missing__(self, piece: str) -> bytes:
@@ -251,47 +252,54 @@ def _with(df: DataFrame, *added: T.StructField) -> T.StructType:
     return T.StructType([f for f in df.schema if f.name not in names] + list(added))
 
 
-def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of ``most`` together, or single larger ones."""
+def _parts(batch: pa.RecordBatch, column: str, most: int = 2 * CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose values have ``most`` bytes together, or of single larger ones; nothing is copied."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     a = held = 0
     for i, n in enumerate(sizes):
         if i > a and held + n > most:
-            yield a, i
+            yield batch.slice(a, i - a)
             a, held = i, 0
         held += n
     if len(sizes) > a:
-        yield a, len(sizes)
+        yield batch.slice(a)
 
 
-def encode(docs: DataFrame, text: str = "text", ranks_path: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", ranks_path: str | None = None, verify: bool = False) -> DataFrame:
     """Add the ids of each whole text: token_ids and token_offsets (bytes of little-endian unsigned 32-bit integers; the second tells at which byte of the text each token begins) and n_tokens.
 
     Boundaries of pre-tokens come from arrays of code point classes and a scan over transition functions, for many
     texts at once; each slice is merged once per worker while the bounded cache holds it. Special tokens don't
-    exist: their strings are ordinary text. Nothing is shuffled.
+    exist: their strings are ordinary text. Nothing is shuffled. With ``verify`` the ids are decoded at once, and
+    round_trip tells whether they give the text's bytes.
 
     Null counts as empty, which has no tokens. A single very long text is scanned alone; a run without boundaries
     is merged by a heap. Extra columns pass through, those named as the added ones are replaced. Rows are encoded
     independently, so ties and repeated rows need no rule; an empty table gives no rows.
     """
-    ranks, keep = _ranks(docs, ranks_path), [c for c in docs.columns if c not in ("token_ids", "token_offsets", "n_tokens")]
-    schema = _with(docs, T.StructField("token_ids", T.BinaryType()), T.StructField("token_offsets", T.BinaryType()), T.StructField("n_tokens", T.LongType()))
+    added = [T.StructField("token_ids", T.BinaryType()), T.StructField("token_offsets", T.BinaryType()), T.StructField("n_tokens", T.LongType()), *[T.StructField("round_trip", T.BooleanType())] * verify]
+    names = [f.name for f in added]
+    ranks, keep = _ranks(docs, ranks_path), [c for c in docs.columns if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(ranks.value)
         encoder = Encoder(vocabulary)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            for a, b in _groups([len(t) for t in texts], 4 * CHUNK):
-                ids = list(encoder.encode(texts[a:b]))
-                offsets = []
-                for x in ids:
+            for part in _parts(batch, text):
+                texts = [t or "" for t in part.column(text).to_pylist()]
+                ids, offsets, counts, exact = [], [], [], []
+                for t, x in zip(texts, encoder.encode(texts), strict=True):
                     size = vocabulary.length[x]
-                    offsets.append((np.cumsum(size) - size).astype("<u4").tobytes())
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(offsets, pa.binary()), pa.array([len(x) for x in ids], pa.int64())], [*keep, "token_ids", "token_offsets", "n_tokens"])
+                    at = (np.cumsum(size) - size).astype("<u4")
+                    ids.append(x.tobytes())
+                    offsets.append(at.tobytes())
+                    counts.append(len(x))
+                    if verify:
+                        exact.append(vocabulary.decode(x, at) == t.encode())
+                columns = [pa.array(ids, pa.binary()), pa.array(offsets, pa.binary()), pa.array(counts, pa.int64()), *[pa.array(exact, pa.bool_())] * verify]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns], [*keep, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, _with(docs, *added))
 
 
 def decode(tokens: DataFrame, ranks_path: str | None = None) -> DataFrame:
@@ -304,10 +312,9 @@ def decode(tokens: DataFrame, ranks_path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(ranks.value)
         for batch in batches:
-            ids, offsets = (batch.column(c).to_pylist() for c in ("token_ids", "token_offsets"))
-            for a, b in _groups([len(x or b"") for x in ids], 4 * CHUNK):
-                out = [None if x is None else vocabulary.decode(np.frombuffer(x, "<u4"), np.frombuffer(o, "<u4") if o is not None else None) for x, o in zip(ids[a:b], offsets[a:b], strict=True)]
-                part = batch.slice(a, b - a)
+            for part in _parts(batch, "token_ids"):
+                ids, offsets = (part.column(c).to_pylist() for c in ("token_ids", "token_offsets"))
+                out = [None if x is None else vocabulary.decode(np.frombuffer(x, "<u4"), np.frombuffer(o, "<u4") if o is not None else None) for x, o in zip(ids, offsets, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out, pa.binary())], [*keep, "decoded"])
 
     return tokens.mapInArrow(run, _with(tokens, T.StructField("decoded", T.BinaryType())))
