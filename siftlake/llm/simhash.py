@@ -270,7 +270,7 @@ def word_fingerprints(text: str | None, seeds: int) -> np.ndarray:
     return np.packbits(counts * 2 > len(hashes)).view(np.uint64)
 
 
-def near_dedup_any(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", seeds: int = 8, budget: int = 3, most: int = 1 << 12) -> DataFrame:
+def near_dedup_any(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", seeds: int = 8, budget: int = 3, most: int = 1 << 18) -> DataFrame:
     """Add component_id and kept, where documents link if any of ``seeds`` fingerprints are ``budget`` bits apart or less.
 
     The near copies of a corpus differ in a few words, each of which spoils five shingles of five words: at a
@@ -281,6 +281,8 @@ def near_dedup_any(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     Documents equal in all fingerprints are one class. The tries of all seeds are walked together; classes that share
     a fingerprint, and those of linked ones, are connected through their first row, and components contracted.
+    A leaf is sent to each leaf within the budget, so leaves are large (2 MB): cut d bits deep, each value is sent
+    1 + d + d(d-1)/2 + d(d-1)(d-2)/6 times, which is 42 times for 10 million documents and 299 with leaves of 4096.
 
     Nulls, empty texts, repeated ids and extra columns are treated as by :func:`near_dedup`: texts without words are
     one group, rows without id are kept only where no row of their component has one.
