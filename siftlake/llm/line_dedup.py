@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import BLANKS, materialise, read
+from siftlake.llm.common import BLANKS, flag_in_filter, materialise, read, slot_filter
 
 #: A-Z and their lower case, for texts that lower() would change beyond those.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bits of the bitmap of documents that lose lines: 1 MB as rows, whatever the input.
+SLOTS = 1 << 22
 
 
 def _lines(text: Column) -> Column:
@@ -35,7 +37,8 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     Lines are exploded to (id, hash) once per document, documents are counted per hash with partial sums before the
     shuffle, and the frequent hashes, written as a table, are joined back, so that a hash held by a third of all
     documents is split by adaptive execution. What comes back to a document is its set of hashes to drop, not its
-    lines, which never leave its row: the lines are filtered and joined again by their position in it. 
+    lines, which never leave its row: the lines are filtered and joined again by their position in it. Texts that
+    lose no line skip that shuffle: a bitmap of fixed size tells most of them, and where it is full all texts pass it.
 
     Null or empty text is one empty line. Rows of one id are one document; rows without id count as one document
     too, which loses to every id. A line repeated within the keeping document stays each time. Extra columns pass
@@ -48,11 +51,14 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     losing = pairs.join(frequent, pairs["__h"] == frequent["__fh"]).where(~F.col("__id").eqNullSafe(F.col("__keeper")))
     drops = materialise(losing.groupBy("__id").agg(F.collect_set("__h").alias("__drop")), "lines-drops")
 
-    out = docs.join(drops, docs[doc_id].eqNullSafe(drops["__id"]), "left").withColumn("__lines", _lines(F.col(text)))
+    marked = flag_in_filter(docs, doc_id, slot_filter(drops, "__id", SLOTS), SLOTS, "__hit")
+    hit = marked.where("__hit")
+    hit = hit.join(drops, hit[doc_id].eqNullSafe(drops["__id"]), "left")
+    out = hit.unionByName(marked.where("NOT __hit"), allowMissingColumns=True).withColumn("__lines", _lines(F.col(text)))
     stay = F.filter("__lines", lambda x: ~F.coalesce(F.array_contains("__drop", _hashed(x, min_points)), F.lit(False)))
     out = out.withColumn("__stay", F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(stay))
     out = out.withColumns({"n_lines": F.size("__lines").cast("long"), "n_dropped": (F.size("__lines") - F.size("__stay")).cast("long"), text: F.array_join("__stay", "\n")})
-    return out.drop("__id", "__drop", "__lines", "__stay")
+    return out.drop("__id", "__hit", "__drop", "__lines", "__stay")
 
 
 def op10_line_dedup(spark, sf_dir):
