@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlake.llm import near_copies as near
 from siftlake.llm.bpe import encode
 from siftlake.llm.common import materialise, read
 from siftlake.llm.line_dedup import line_dedup
 from siftlake.llm.mixing import in_order, mix
 from siftlake.llm.quality import classify, quality_model
-from siftlake.llm.simhash import near_dedup_any
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,8 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that near fingerprints connect, that of the smallest id."""
-    return near_dedup_any(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+    """One document of each group that pairs of five-word-shingle similarity 0.8 or more connect, that of the smallest id."""
+    return near.near_copies(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
