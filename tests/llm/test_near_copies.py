@@ -91,3 +91,21 @@ def test_pipeline_stage(spark, sf_dir):
     root = connected([r["text"] for r in rows])
     kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, sf_dir).collect()}
     assert kept == {rows[i]["doc_id"] for i in set(root)} and len(kept) < len(rows)
+
+
+def test_replaced_words(spark, sf_dir):
+    """Copies with 1-4 % of the words replaced by words of the same language are found whenever they are 0.8 similar."""
+    draw, rows, pairs = np.random.default_rng(8), [], {}
+    docs = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect() if len((r["text"] or "").split()) >= 60][:60]
+    said = {}
+    for r in docs:
+        said.setdefault(r["lang"], []).extend(r["text"].split()[:200])
+    for r in docs:
+        for share in (0.01, 0.02, 0.03, 0.04):
+            base = [f"d{len(pairs)}", *r["text"].split()]
+            base = [w + str(len(pairs)) if i % 5 == 0 else w for i, w in enumerate(base)]  # no pair is near another
+            a, b = " ".join(base), " ".join(replaced(draw, base, share, said[r["lang"]]))
+            pairs[len(rows)] = jaccard(shingles(a), shingles(b))
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i + 1] == i for i in pairs} == {i: s >= 0.8 for i, s in pairs.items()} and sum(s >= 0.8 for s in pairs.values()) > 50
