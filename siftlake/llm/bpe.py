@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlake.llm.common import read
+from siftlake.llm.common import adds, read
 
 OTHER, LETTER, NUMBER, SPACE, EDGE = 0, 1, 2, 3, 4
 #: The code points of Unicode's White_Space, which the pattern's \s stands for.
@@ -247,11 +247,6 @@ def _ranks(df: DataFrame, path: str | None):
     return df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
 
-def _with(df: DataFrame, *added: T.StructField) -> T.StructType:
-    names = {f.name for f in added}
-    return T.StructType([f for f in df.schema if f.name not in names] + list(added))
-
-
 def _parts(batch: pa.RecordBatch, column: str, most: int = 2 * CHUNK) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose values have ``most`` bytes together, or of single larger ones; nothing is copied."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
@@ -265,12 +260,13 @@ def _parts(batch: pa.RecordBatch, column: str, most: int = 2 * CHUNK) -> Iterato
         yield batch.slice(a)
 
 
-def encode(docs: DataFrame, text: str = "text", ranks_path: str | None = None, verify: bool = False) -> DataFrame:
+@adds("token_ids", "token_offsets", "n_tokens", "round_trip")
+def encode(docs: DataFrame, text: str = "text", ranks_path: str | None = None, verify: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Add the ids of each whole text: token_ids and token_offsets (bytes of little-endian unsigned 32-bit integers; the second tells at which byte of the text each token begins) and n_tokens.
 
     Boundaries of pre-tokens come from arrays of code point classes and a scan over transition functions, for many
     texts at once; each slice is merged once per worker while the bounded cache holds it. Special tokens don't
-    exist: their strings are ordinary text. Nothing is shuffled. With ``verify`` the ids are decoded at once, and
+    exist: their strings are ordinary text. Nothing is shuffled; of the table's columns only ``keep`` (all) come back. With ``verify`` the ids are decoded at once, and
     round_trip tells whether they give the text's bytes.
 
     Null counts as empty, which has no tokens. A single very long text is scanned alone; a run without boundaries
@@ -279,7 +275,7 @@ def encode(docs: DataFrame, text: str = "text", ranks_path: str | None = None, v
     """
     added = [T.StructField("token_ids", T.BinaryType()), T.StructField("token_offsets", T.BinaryType()), T.StructField("n_tokens", T.LongType()), *[T.StructField("round_trip", T.BooleanType())] * verify]
     names = [f.name for f in added]
-    ranks, keep = _ranks(docs, ranks_path), [c for c in docs.columns if c not in names]
+    ranks, keep = _ranks(docs, ranks_path), docs.columns if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(ranks.value)
@@ -299,15 +295,18 @@ def encode(docs: DataFrame, text: str = "text", ranks_path: str | None = None, v
                 columns = [pa.array(ids, pa.binary()), pa.array(offsets, pa.binary()), pa.array(counts, pa.int64()), *[pa.array(exact, pa.bool_())] * verify]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns], [*keep, *names])
 
-    return docs.mapInArrow(run, _with(docs, *added))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *added]))
 
 
+@adds("decoded")
 def decode(tokens: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """Add ``decoded``, the bytes that token_ids stand for, placed by token_offsets.
 
-    Null ids give null. Ids which the vocabulary lacks raise an IndexError. Extra columns pass through.
+    Null ids give null, empty ones nothing. Ids which the vocabulary lacks raise an IndexError. Very long rows are decoded
+    in pieces of CHUNK ids. Rows are independent, so ties and repeated rows need no rule. Extra columns pass through, one
+    named decoded is replaced. An empty table gives no rows.
     """
-    ranks, keep = _ranks(tokens, ranks_path), [c for c in tokens.columns if c != "decoded"]
+    ranks, keep = _ranks(tokens, ranks_path), tokens.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(ranks.value)
@@ -317,10 +316,10 @@ def decode(tokens: DataFrame, ranks_path: str | None = None) -> DataFrame:
                 out = [None if x is None else vocabulary.decode(np.frombuffer(x, "<u4"), np.frombuffer(o, "<u4") if o is not None else None) for x, o in zip(ids, offsets, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out, pa.binary())], [*keep, "decoded"])
 
-    return tokens.mapInArrow(run, _with(tokens, T.StructField("decoded", T.BinaryType())))
+    return tokens.mapInArrow(run, T.StructType([*tokens.schema, T.StructField("decoded", T.BinaryType())]))
 
 
 def op8_bpe(spark, sf_dir):
-    encoded = encode(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    encoded = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     decoded = decode(encoded)
     return decoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -1,10 +1,13 @@
-"""What several corpus operators share: tables in the shared scratch folder, and fixed-size row filters."""
+"""What several corpus operators share: tables in the shared scratch folder, fixed-size row filters, safe column names."""
 
 from __future__ import annotations
 
 import atexit
+import functools
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: White space of every contract here: `[\x20\x09-\x0D]`.
 BLANKS = " \t\n\x0b\x0c\r"
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 _scratch: dict[str, str] = {}
 
@@ -23,15 +27,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_folder(spark: SparkSession) -> str:
     """A folder of this application below ``spark.checkpoint.dir``, which every executor can see.
 
-    Where that setting is absent, a local session (as in tests) uses a temporary folder, any other the warehouse.
+    Where that setting is absent, a local session (as in tests) uses a temporary folder, any other the warehouse; a
+    warehouse on the machines' own disks raises a ValueError, since other machines wouldn't see what one wrote.
     """
     sc = spark.sparkContext
     app = sc.applicationId
     if app not in _scratch:
         root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not root:
-            local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-            root = tempfile.mkdtemp(prefix="siftlake-") if local else spark.conf.get("spark.sql.warehouse.dir")
+            if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+                root = tempfile.mkdtemp(prefix="siftlake-")
+            else:
+                root = spark.conf.get("spark.sql.warehouse.dir")
+                if "://" not in root or root.startswith("file:"):
+                    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _scratch[app] = f"{root.rstrip('/')}/siftlake-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _scratch[app])
     return _scratch[app]
@@ -55,7 +64,49 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of :func:`materialise` that nothing will read again; others are left alone."""
+    for t in tables:
+        if path := getattr(t, "scratch_path", None):
+            _remove(t.sparkSession, path)
+
+
+def adds(*names: str) -> Callable:
+    """For operators on a first table ``docs`` that add columns ``names``.
+
+    Columns named so already, in any case, are replaced. Columns whose names begin with two underscores, as the
+    operators' own working columns do, get other names meanwhile, so that they pass through.
+    """
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(f)
+        def run(docs: DataFrame, *args, **how) -> DataFrame:
+            docs = docs.drop(*(c for c in docs.columns if c.lower() in {n.lower() for n in names}))
+            aside = {c: f"aside{i}_{uuid.uuid4().hex}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+            out = f(docs.withColumnsRenamed(aside), *args, **how)
+            return out.withColumnsRenamed({v: k for k, v in aside.items()})
+
+        return run
+
+    return wrap
+
+
+def word_pieces(text: str | None, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words `[^\\x20\\x09-\\x0D]+` of the A-Z lower-cased text in UTF-8, those of about ``size`` bytes at a time."""
+    data, a = (text or "").encode().lower(), 0  # bytes.lower changes A-Z alone, bytes.split knows [\x20\x09-\x0D]
+    while a < len(data):
+        if len(data) - a <= size:
+            yield data[a:].split()
+            return
+        cut = _BLANK.search(data, a + size)
+        b = cut.start() if cut else len(data)
+        yield data[a:b].split()
+        a = b
 
 
 def without_blanks(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import flag_in_filter, materialise, read, slot_filter, without_blanks
+from siftlake.llm.common import adds, flag_in_filter, materialise, read, slot_filter, without_blanks
 
 
 def _sized(docs: DataFrame, text: str, prefix_chars: int) -> DataFrame:
@@ -13,12 +13,12 @@ def _sized(docs: DataFrame, text: str, prefix_chars: int) -> DataFrame:
     return docs.withColumns({"__norm": norm, "__points": F.length(F.coalesce(F.col(text), F.lit("")))}).withColumns({"__len": F.length("__norm"), "__pre": F.xxhash64(F.length("__norm"), F.substring("__norm", 1, prefix_chars))})
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prefix_chars: int = 64, slots: int = 1 << 22, digest_all: bool = False) -> DataFrame:
+@adds("keep_id", "group_size", "kept", "text_sha256")
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prefix_chars: int = 64, slots: int = 1 << 22, digest: bool = False) -> DataFrame:
     """Mark rows whose texts are equal once white space is deleted.
 
-    Adds keep_id (the id that stays: most code points in the original text, then smallest id), group_size, kept and
-    text_sha256 (of the normalised text; with ``digest_all`` for every row, else only where the refinement had to
-    read the whole text).
+    Adds keep_id (the id that stays: most code points in the original text, then smallest id), group_size and kept;
+    with ``digest`` also text_sha256 of every row's normalised text, for which whole texts have to be read anyway.
 
     One narrow table of lengths and prefix hashes comes from the first reading. Lengths seen once are settled by it,
     then prefixes seen once among the rest. What remains is told to the second reading by a bitmap of ``slots`` bits
@@ -26,8 +26,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pre
     never enter a shuffle unless the caller selects them from the result.
 
     Null text counts as empty, and empty texts are equal. A null id loses every tie. Rows which repeat both id and
-    text are one document told twice: each counts in group_size, and they share one decision. Extra columns pass
-    through; columns named as the added ones are replaced. An empty table gives no rows.
+    text are one document told twice: each counts in group_size, and they share one decision. A very long text is
+    normalised and hashed within its row. Extra columns pass through; columns named as the added ones are replaced. An
+    empty table gives no rows.
     """
     sizes = materialise(_sized(docs, text, prefix_chars).select("__len", "__pre"), "dedup-sizes")
     lengths = sizes.groupBy("__len").count().where("count > 1")
@@ -37,8 +38,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pre
 
     hashed = flag_in_filter(_sized(docs, text, prefix_chars), "__pre", survivors, slots, "__maybe")
     whole = F.sha2(F.col("__norm").cast("binary"), 256)
-    hashed = hashed.withColumn("text_sha256", whole if digest_all else F.when(F.col("__maybe"), whole))
-    hashed = hashed.withColumn("__key", F.when(F.col("__maybe"), F.col("text_sha256")).otherwise(F.hex("__pre")))
+    hashed = hashed.withColumn("__sha", whole if digest else F.when(F.col("__maybe"), whole))
+    hashed = hashed.withColumn("__key", F.when(F.col("__maybe"), F.col("__sha")).otherwise(F.hex("__pre")))
     best = F.min(F.struct((-F.col("__points")).alias("p"), F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("id")))
     groups = hashed.where("__maybe").groupBy("__key").agg(best.alias("__best"), F.count(F.lit(1)).alias("__size")).where("__size > 1")
     groups = materialise(groups.select(F.col("__key").alias("__group"), F.col("__best.id").alias("__keep"), "__size"), "dedup-groups")
@@ -47,11 +48,13 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pre
     alone = F.col("__size").isNull()
     out = out.withColumns({"keep_id": F.when(alone, F.col(doc_id)).otherwise(F.col("__keep")), "group_size": F.coalesce("__size", F.lit(1).cast("long"))})
     out = out.withColumn("kept", alone | F.col("keep_id").eqNullSafe(F.col(doc_id)))
-    return out.drop("__norm", "__points", "__len", "__pre", "__maybe", "__key", "__group", "__keep", "__size")
+    if digest:
+        out = out.withColumn("text_sha256", F.col("__sha"))
+    return out.drop("__sha", "__norm", "__points", "__len", "__pre", "__maybe", "__key", "__group", "__keep", "__size")
 
 
 def op1_exact_dedup(spark, sf_dir):
-    return exact_dedup(read(spark, sf_dir, "documents"), digest_all=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(read(spark, sf_dir, "documents"), digest=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP1_SQL = r"""

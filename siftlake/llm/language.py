@@ -9,12 +9,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlake.llm.common import read
+from siftlake.llm.common import adds, read
 
-#: Code points that are looked at together, at most.
+#: Code points that are looked at together; a longer text is cut.
 CHUNK = 1 << 19
 #: Odd multipliers that mix a 64-bit n-gram for each of the slots probed.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -23,26 +24,37 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
     """Whether each code point is a letter."""
-    return np.array([chr(c).isalpha() for c in range(0x110000)])
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All 3-grams of the lower-cased texts, whatever isn't a letter counting as a blank, and each one's text.
+def pieces(text: str | None, size: int = CHUNK) -> Iterator[str]:
+    """The lower-cased text in pieces of about ``size`` code points, each between the code points next to it or blanks."""
+    text = text or ""
+    low = [text[a : a + size].lower() for a in range(0, len(text), size)] or [""]
+    for k, part in enumerate(low):
+        yield (low[k - 1][-1:] if k else " ") + part + (low[k + 1][:1] if k + 1 < len(low) else " ")
 
-    A 3-gram holds three code points of 21 bits; those with two blanks side by side or a blank in the middle are
-    left out.
+
+def grams(padded: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All 3-grams of lower-cased texts of which each stands between its neighbours, and each one's text.
+
+    Whatever isn't a letter counts as a blank. A 3-gram holds three code points of 21 bits; those with two blanks side by
+    side or a blank in the middle are left out.
     """
-    low = [f" {t.lower()} " for t in texts]
-    sizes = np.array([len(t) for t in low], np.int64)
-    points = np.frombuffer("".join(low).encode("utf-32-le"), "<u4").astype(np.uint64)
+    sizes = np.array([len(t) for t in padded], np.int64)
+    points = np.frombuffer("".join(padded).encode("utf-32-le"), "<u4").astype(np.uint64)
     letter = letters()[points]
     points = np.where(letter, points, np.uint64(32))
-    owner = np.repeat(np.arange(len(texts)), sizes)
+    owner = np.repeat(np.arange(len(padded)), sizes)
     good = letter[1:-1] & (letter[:-2] | letter[2:]) & (owner[:-2] == owner[2:])
     at = np.flatnonzero(good)
     return (points[at] << np.uint64(42)) | (points[at + 1] << np.uint64(21)) | points[at + 2], owner[at]
 
 
+def has_letter(text: str | None) -> bool:
+    return any(letters()[np.frombuffer(text[a : a + CHUNK].encode("utf-32-le"), "<u4")].any() for a in range(0, len(text), CHUNK)) if text else False
+
+
 def slots(keys: np.ndarray, size: int, probe: int) -> np.ndarray:
     mixed = (keys ^ (keys >> np.uint64(29))) * np.uint64(MULTIPLIERS[probe])
     mixed ^= mixed >> np.uint64(32)
@@ -51,89 +63,107 @@ def slots(keys: np.ndarray, size: int, probe: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Languages:
-    """names[i] owns bit i of every slot; false[i] is the chance that a foreign n-gram hits all its slots."""
+    """names[i] owns bit i mod 64 of word i div 64 of every slot; false[i] is the chance that a foreign n-gram hits all its slots."""
 
     names: tuple[str, ...]
     masks: np.ndarray
     false: np.ndarray
     probes: int
 
+    def hits(self, keys: np.ndarray) -> Iterator[np.ndarray]:
+        """For each language whether it may hold each n-gram: one AND of the slots' masks for 64 languages."""
+        at = [slots(keys, len(self.masks), k) for k in range(self.probes)]
+        for w in range(self.masks.shape[1]):
+            found = self.masks[at[0], w]
+            for k in at[1:]:
+                found = found & self.masks[k, w]
+            for i in range(64 * w, min(64 * w + 64, len(self.names))):
+                yield ((found >> np.uint64(i % 64)) & np.uint64(1)) > 0
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = []
-        group, held = [], 0
-        for t in texts:
-            if group and held + len(t or "") > CHUNK:
-                out += self._predict(group)
-                group, held = [], 0
-            group.append(t or "")
-            held += len(t or "")
-        return out + (self._predict(group) if group else [])
-
-    def _predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        keys, owner = grams(texts)
-        found = self.masks[slots(keys, len(self.masks), 0)]
-        for k in range(1, self.probes):
-            found = found & self.masks[slots(keys, len(self.masks), k)]
-        n = np.bincount(owner, minlength=len(texts)).astype(float)
-        hits = np.zeros((len(texts), len(self.names)))
-        for i in range(len(self.names)):
-            hits[:, i] = np.bincount(owner[((found >> np.uint64(i)) & np.uint64(1)) > 0], minlength=len(texts))
+        n, hits = np.zeros(len(texts)), np.zeros((len(texts), len(self.names)))
+        group, owners, held = [], [], 0
+
+        def count() -> None:
+            keys, of = grams(group)
+            owner = np.array(owners, np.int64)[of]
+            n[:] += np.bincount(owner, minlength=len(texts))
+            for i, hit in enumerate(self.hits(keys)):
+                hits[:, i] += np.bincount(owner[hit], minlength=len(texts))
+
+        for k, text in enumerate(texts):
+            for part in pieces(text):
+                if group and held + len(part) > CHUNK:
+                    count()
+                    group, owners, held = [], [], 0
+                group.append(part)
+                owners.append(k)
+                held += len(part)
+        if group:
+            count()
         true = np.maximum(0, (hits - n[:, None] * self.false) / (1 - self.false))
         total = true.sum(1)
         best = true.argmax(1) if self.names else np.zeros(len(texts), int)
-        table = letters()
         out = []
         for k, text in enumerate(texts):
-            if not self.names or (not n[k] and not (len(text) and table[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())):
+            if not self.names or (not n[k] and not has_letter(text)):
                 out.append(("und", 0.0))
             else:
                 out.append((self.names[best[k]], float(true[k, best[k]] / total[k]) if total[k] else 0.0))
         return out
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = 6000, size: int = 1 << 18, probes: int = 3, least: int = 2, ratio: float = 0.4) -> Languages:
-    """Fill the filter from at most ``sample`` documents, those whose ids hash lowest, whole texts each.
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = 1500, size: int = 1 << 18, probes: int = 3, least: int = 2, ratio: float = 0.4) -> Languages:
+    """Fill the filter from at most ``sample`` documents of each language, those whose ids hash lowest, whole texts each.
 
     A language holds an n-gram that it shows ``least`` times or more, at ``ratio`` or more of the rate of the language
-    which shows it most. N-grams are counted in Spark and come to the driver as ``size`` slot masks at most. Rows
-    without language or text teach nothing. Up to 64 languages fit a mask; of more, the most frequent count.
-    Languages are ordered by rows, then name, and the first of equal counts is predicted.
+    which shows it most. N-grams are counted in Spark and come to the driver as ``size`` slot masks at most, of one
+    64-bit word for each 64 languages. Every language is learned, however rare. Rows without language or text teach
+    nothing; of rows with equal hashes of their ids at the edge of the sample all or none are taken. Languages are
+    ordered by n-grams, then name, and the first of equal counts is predicted.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string")).alias("h"), F.col(doc_id).alias("i"))
-    chosen = rows.select("lang", "h", "i").orderBy("h", "i", "lang").limit(sample).agg(F.max("h").alias("most")).first()["most"]
-    taught = rows.where(F.col("h") <= chosen) if chosen is not None else rows.limit(0)
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string")).alias("h"))
+    # the rank is limited within each part before the shuffle, so a language of most rows sends a sample from each
+    last = rows.select("lang", "h").withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample).groupBy("lang").agg(F.max("h").alias("edge"))
+    edges = {r["lang"]: r["edge"] for r in last.collect()}  # a row for each language
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-            for name in sorted(set(said)):
-                keys, times = np.unique(np.concatenate([grams([t])[0] for t, s in zip(texts, said, strict=True) if s == name]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys)), pa.array(keys.view(np.int64)), pa.array(times)], ["lang", "gram", "times"])
-
-    counted = taught.select("lang", "text").mapInArrow(count, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
-    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
-    names = tuple(totals)
-    masks = np.zeros(size, np.uint64)
+            keep = [h <= edges[x] for x, h in zip(batch.column("lang").to_pylist(), batch.column("h").to_pylist(), strict=True)]
+            yield from count(batch.filter(pa.array(keep, pa.bool_())))
+
+    def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        said = batch.column("lang").to_pylist()
+        for name in sorted(set(said)):
+            found = [grams([part])[0] for k, s in enumerate(said) if s == name for part in pieces(batch.column("text")[k].as_py())]
+            keys, times = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(times)], ["lang", "gram", "times"])
+
+    counted = rows.where(F.col("h") <= max(edges.values(), default=0)).mapInArrow(chosen, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
+    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "lang").collect()}
+    names, words = tuple(totals), max(1, -(-len(totals) // 64))
+    masks = np.zeros((size, words), np.uint64)
     if names:
-        rates = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(float(totals[n])))])
-        bits = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-        rated = counted.where(F.col("lang").isin(*names)).withColumns({"rate": F.col("times") / rates[F.col("lang")], "bit": bits[F.col("lang")]})
-        best = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("bit", "rate", "times")).alias("each"))  # 64 at most
+        known = docs.sparkSession.createDataFrame([(n, float(totals[n]), i // 64, i % 64) for i, n in enumerate(names)], "lang string, of double, word int, bit int")
+        rated = counted.join(known, "lang").withColumn("rate", F.col("times") / F.col("of"))
+        best = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("word", "bit", "rate", "times")).alias("each"))  # one for each language at most
         held = best.select("gram", F.explode("each").alias("x"), "top").where((F.col("x.rate") >= ratio * F.col("top")) & (F.col("x.times") >= least))
-        masked = held.groupBy("gram").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x.bit"))).alias("mask"))
+        masked = held.groupBy("gram", F.col("x.word").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x.bit"))).alias("mask"))
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys = batch.column("gram").to_numpy(zero_copy_only=False).view(np.uint64)
                 at = np.concatenate([slots(keys, size, k) for k in range(probes)]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.tile(batch.column("mask").to_numpy(zero_copy_only=False), probes))], ["slot", "mask"])
+                repeat = lambda c: pa.array(np.tile(batch.column(c).to_numpy(zero_copy_only=False), probes))  # noqa: B023,E731
+                yield pa.RecordBatch.from_arrays([pa.array(at), repeat("word"), repeat("mask")], ["slot", "word", "mask"])
 
-        filled = masked.mapInArrow(place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-        masks[filled.column("slot").to_numpy()] = filled.column("mask").to_numpy().view(np.uint64)
-    share = np.array([((masks >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(names))])
+        filled = masked.mapInArrow(place, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        masks[filled.column("slot").to_numpy(), filled.column("word").to_numpy()] = filled.column("mask").to_numpy().view(np.uint64)
+    share = np.array([((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(names))])
     return Languages(names, masks, np.minimum(share**probes, 0.99), probes)
 
 
+@adds("lang_pred", "score")
 def identify(docs: DataFrame, model: Languages, text: str = "text") -> DataFrame:
     """Add lang_pred and score (that language's share of the corrected counts) from the whole text alone.
 
@@ -141,18 +171,19 @@ def identify(docs: DataFrame, model: Languages, text: str = "text") -> DataFrame
     and corrected for the chance of false ones. A null text or one without letters is ``und`` with score 0, as is all
     if nothing was learned. Rows are independent: ties between languages go to the more frequent one, repeated rows get
     equal results, extra columns pass through, those named as the added ones are replaced; an empty table gives no
-    rows. Nothing is shuffled, and a very long text is the largest thing held.
+    rows. Nothing is shuffled; a very long text is counted in pieces of CHUNK code points, of which none is left out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # size * 8 bytes, whatever the input
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # size * 8 bytes for each 64 languages, whatever the input
+    keep = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = shared.value.predict(batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                got = shared.value.predict(part.column(text).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def op4_language(spark, sf_dir):

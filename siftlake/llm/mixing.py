@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import materialise, read
+from siftlake.llm.common import adds, materialise, read
 
 #: Words of every contract here.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +33,25 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap:
     return out.select("__src", "source_size", F.when(F.col("__full"), F.col("__cap").cast("double")).otherwise(level).alias("target"), "slope")
 
 
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Add __md5, the order of a source's documents: the MD5 of the id, or for rows without one of their text and a number.
+
+    Rows without id that share a text are numbered within the parts of a written table and moved up by the rows of
+    earlier parts, so that a crowd of them is dealt evenly, whatever its size, and no task numbers it whole.
+    """
+    named = docs.where(F.col(doc_id).isNotNull()).withColumn("__md5", F.md5(F.col(doc_id).cast("string").cast("binary")))
+    alone = docs.where(F.col(doc_id).isNull()).withColumns({"__md5": F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")), "__at": F.monotonically_increasing_id()})
+    alone = materialise(alone.withColumn("__part", F.shiftright("__at", 33)), "mix-nameless")
+    if alone.isEmpty():
+        return named
+    earlier = W.partitionBy("__md5").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # as many rows as parts
+    parts = alone.groupBy("__md5", "__part").agg(F.count(F.lit(1)).alias("n")).select("__md5", "__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    number = F.col("__before") + F.row_number().over(W.partitionBy("__md5", "__part").orderBy("__at"))
+    alone = alone.join(materialise(parts, "mix-parts"), ["__md5", "__part"]).withColumn("__n", number)
+    return named.unionByName(alone.withColumn("__md5", F.md5(F.concat_ws(":", "__md5", F.col("__n").cast("string")).cast("binary"))).drop("__at", "__part", "__before", "__n"))
+
+
+@adds("size", "source_size", "target", "taken", "positions")
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights=(3, 1, 2), share: float = 1.5, cap: int = 2, slopes=(-0.5, 0.0, 0.5)) -> DataFrame:
     """Give every document the words that the mix takes of it and its training positions.
 
@@ -48,11 +67,14 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     Starts are prefix sums in three steps (within one of 4096 hash ranges of a source, over 64 ranges, over 64 groups
     of ranges), so a source with a third of all rows is spread over 4096 windows. Rows pass one shuffle.
 
-    Null ids are ordered by text. Rows that repeat an id are rows of their own. A null source is a source, the last.
-    A source without words has target 0 and its documents positions above 1. Columns named as the added ones are
+    Rows without id stand in the order of their text's hash; equal ones are interchangeable, and so reruns agree. Rows
+    that repeat an id are rows of their own. A null source is a source, the last. A source without words has target 0
+    and its documents positions above 1; null and empty texts have size 0 and take the position of their start. Ties in
+    the hash go by id. Texts are only counted, so very long ones need no rule. Columns named as the added ones are
     replaced, others pass through. An empty table gives no rows.
     """
-    out = docs.withColumns({"size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"), "__src": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")), "__md5": F.md5(F.coalesce(F.col(doc_id).cast("string"), F.col(text), F.lit("")).cast("binary"))})
+    out = _keyed(docs, text, doc_id)
+    out = out.withColumns({"size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"), "__src": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))})
     out = out.withColumn("__bucket", F.conv(F.substring("__md5", 1, 3), 16, 10).cast("int"))
     sums = materialise(out.groupBy("__src", "__bucket").agg(F.sum("size").alias("__words"), F.first(F.col(source).cast("string")).alias("__name")), "mix-sums")
     sums = sums.withColumn("__coarse", (F.col("__bucket") / 64).cast("int"))
@@ -64,7 +86,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     ranges = fine.join(coarse, ["__src", "__coarse"]).join(plan, "__src").select("__src", "__bucket", (F.col("__fine_start") + F.col("__coarse_start")).alias("__range_start"), "__total", "__target", "__slope")
     ranges = materialise(ranges, "mix-ranges")
 
-    out = out.drop("source_size", "target", "taken", "positions").join(ranges, ["__src", "__bucket"])
+    out = out.join(ranges, ["__src", "__bucket"])
     inside = W.partitionBy("__src", "__bucket").orderBy("__md5", doc_id, "size").rowsBetween(W.unboundedPreceding, -1)
     out = out.withColumn("__start", F.col("__range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     total, target, slope, goal = F.col("__total"), F.col("__target"), F.col("__slope"), F.floor("__target")
@@ -88,7 +110,7 @@ def in_order(mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 def op7_mixing(spark, sf_dir):
     mixed = mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.col("positions")[0].alias("position")).orderBy("position", "doc_id")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.col("positions")[0].alias("position"), F.col("positions")[1].alias("position_again")).orderBy("position", "doc_id")
 
 
 OP7_SQL = r"""
@@ -118,9 +140,9 @@ p AS (
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        greatest(0, least(size, goal - start)) + greatest(0, least(size, goal - start - source_size)) AS taken,
-       CASE WHEN start >= goal THEN 1 + (start - goal + 1)::DOUBLE / greatest(source_size, 1)
-            WHEN slope = 0 THEN least(start / target, 1.0)
-            ELSE least((sqrt((1 - slope) * (1 - slope) + 4 * slope * (start / target)) - (1 - slope)) / (2 * slope), 1.0)
-       END AS position
+       {} AS position, {} AS position_again
 FROM p
-"""
+""".format(*(f"""CASE WHEN {start} >= goal THEN 1 + ({start} - goal + 1)::DOUBLE / greatest(source_size, 1)
+            WHEN slope = 0 THEN least({start} / target, 1.0)
+            ELSE least((sqrt((1 - slope) * (1 - slope) + 4 * slope * ({start} / target)) - (1 - slope)) / (2 * slope), 1.0)
+       END""" for start in ("start", "(start + source_size)")))

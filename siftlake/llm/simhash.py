@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlake.llm.common import materialise, read
+from siftlake.llm.common import adds, discard, materialise, read, word_pieces
 from siftlake.llm.components import components
 
 #: Shingles whose bits are counted at once, and node pairs that one step of the walk expands.
@@ -22,19 +22,29 @@ STRIDE, MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
-    """64 bits; each is set if over half of the hashes of all shingles, repeats included, have it set."""
-    parts = (text or "").encode().lower().split()  # bytes.lower changes A-Z alone, bytes.split knows [\x20\x09-\x0D]
-    if not parts:
-        return 0
-    joined, n = b" ".join(parts), max(1, len(parts) - words + 1)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-    end = np.cumsum(sizes) - 1
-    begin = (end + 1 - sizes)[:n].tolist()
-    stop = end[min(words, len(parts)) - 1 :].tolist()
-    digest, counts = partial(xxhash.xxh64_digest, seed=42), np.zeros(64, np.int64)
-    for a in range(0, n, BLOCK):
-        hashes = b"".join(map(digest, map(joined.__getitem__, map(slice, begin[a : a + BLOCK], stop[a : a + BLOCK]))))
-        counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    """64 bits; each is set if over half of the hashes of all shingles, repeats included, have it set.
+
+    The text is worked off in pieces of about a megabyte, each beginning with the last words of the one before.
+    """
+    digest, counts, n, carry = partial(xxhash.xxh64_digest, seed=42), np.zeros(64, np.int64), 0, []
+    for fresh in word_pieces(text):
+        parts = carry + fresh
+        if len(parts) < words:
+            carry = parts
+            continue
+        m = len(parts) - words + 1
+        n += m
+        joined = b" ".join(parts)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+        end = np.cumsum(sizes) - 1
+        begin = (end + 1 - sizes)[:m].tolist()
+        stop = end[words - 1 :].tolist()
+        for a in range(0, m, BLOCK):
+            hashes = b"".join(map(digest, map(joined.__getitem__, map(slice, begin[a : a + BLOCK], stop[a : a + BLOCK]))))
+            counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        carry = parts[m:]
+    if not n and carry:  # fewer words than a shingle has
+        return int.from_bytes(digest(b" ".join(carry)), "big")
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
@@ -141,21 +151,27 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 def _leaves(prints: DataFrame, most: int, step: int) -> tuple[DataFrame, DataFrame]:
     """Cut the tries of all distinct fingerprints, one for each ``seed``, so that no leaf holds over ``most``.
 
-    Returns the leaves (seed, depth, prefix, values) and the inner nodes' children (seed, depth, prefix, child, is_leaf).
-    Nodes are counted with partial sums; only those over ``most`` are cut again, ``step`` bits deeper.
+    Returns the leaves (seed, depth, prefix, values) and the inner nodes' children (seed, depth, prefix, child, is_leaf);
+    the root is the child of itself at depth -1. Nodes are counted with partial sums; only those over ``most`` are cut
+    again, ``step`` bits deeper.
     """
-    leaves, children, rest, depth = None, None, prints.select("seed", "fingerprint"), 0
+    leaves, children, rest, depth, used = None, None, prints.select("seed", "fingerprint"), 0, []
     while True:
-        depth += step
-        here = rest.withColumn("prefix", F.shiftrightunsigned("fingerprint", 64 - depth) if depth < 64 else F.col("fingerprint"))
+        prefix = F.lit(0).cast("long") if depth == 0 else F.shiftrightunsigned("fingerprint", 64 - depth) if depth < 64 else F.col("fingerprint")
+        here = rest.withColumn("prefix", prefix)
         nodes = materialise(here.groupBy("seed", "prefix").agg(F.count(F.lit(1)).alias("n")).select("seed", "prefix", (F.col("n") <= most).alias("is_leaf")), f"trie-{depth}")
         told = here.join(nodes, ["seed", "prefix"])
         own = told.where("is_leaf").repartition("seed", "prefix").groupBy("seed", "prefix").agg(F.sort_array(F.collect_list("fingerprint")).alias("values")).select("seed", F.lit(depth).alias("depth"), "prefix", "values")
-        below = nodes.select("seed", F.lit(depth - step).alias("depth"), F.shiftrightunsigned("prefix", step).alias("prefix"), F.col("prefix").alias("child"), "is_leaf")
+        above = F.shiftrightunsigned("prefix", step) if depth else F.lit(0).cast("long")
+        below = nodes.select("seed", F.lit(depth - step if depth else -1).alias("depth"), above.alias("prefix"), F.col("prefix").alias("child"), "is_leaf")
         leaves, children = (own if leaves is None else leaves.union(own)), (below if children is None else children.union(below))
+        used += [nodes, rest]
         if nodes.where(~F.col("is_leaf")).isEmpty():
-            return materialise(leaves, "trie-leaves"), materialise(children, "trie-children")
+            out = materialise(leaves, "trie-leaves"), materialise(children, "trie-children")
+            discard(*(t for t in used if t is not prints))
+            return out
         rest = materialise(told.where(~F.col("is_leaf")).select("seed", "fingerprint"), "trie-heavy")
+        depth += step
 
 
 def _node_pairs(children: DataFrame, budget: int, step: int) -> DataFrame:
@@ -164,10 +180,15 @@ def _node_pairs(children: DataFrame, budget: int, step: int) -> DataFrame:
     Both nodes of a pair go down together; a leaf waits while the other goes down. Bits are compared as far as both
     are known.
     """
-    inner = lambda side: children.select(F.col("seed").alias("of_seed"), F.col("depth").alias(f"{side}_at"), F.col("prefix").alias(f"{side}_of"), F.col("child").alias(f"{side}_child"), F.col("is_leaf").alias(f"{side}_leaf"))
-    pairs = children.select("seed").distinct().selectExpr("seed", "0 AS a_depth", "0L AS a", "false AS a_is_leaf", "0 AS b_depth", "0L AS b", "false AS b_is_leaf", f"{budget} AS left")
+    inner = lambda side: children.where("depth >= 0").select(F.col("seed").alias("of_seed"), F.col("depth").alias(f"{side}_at"), F.col("prefix").alias(f"{side}_of"), F.col("child").alias(f"{side}_child"), F.col("is_leaf").alias(f"{side}_leaf"))
+    pairs = children.where("depth = -1").selectExpr("seed", "0 AS a_depth", "0L AS a", "is_leaf AS a_is_leaf", "0 AS b_depth", "0L AS b", "is_leaf AS b_is_leaf", f"{budget} AS left")
     done, depth = None, 0
     while True:
+        ready = pairs.where("a_is_leaf and b_is_leaf")
+        done = ready if done is None else done.union(ready)
+        pairs = pairs.where("not (a_is_leaf and b_is_leaf)")
+        if pairs.isEmpty():
+            return done
         for side in ("a", "b"):
             kids = inner(side)
             moving = pairs.where(~F.col(f"{side}_is_leaf")).join(kids, (F.col("seed") == F.col("of_seed")) & (F.col(f"{side}_depth") == F.col(f"{side}_at")) & (F.col(side) == F.col(f"{side}_of")))
@@ -175,25 +196,28 @@ def _node_pairs(children: DataFrame, budget: int, step: int) -> DataFrame:
             pairs = moving.union(pairs.where(F.col(f"{side}_is_leaf")))
         depth += step
         both = F.least("a_depth", "b_depth")
-        cut = lambda c: F.call_function("shiftrightunsigned", F.col(c), F.col(f"{c}_depth") - both)  # noqa: E731,B023
+        # a shift by 64 bits would be none at all
+        cut = lambda c: F.when(both == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.col(c), F.col(f"{c}_depth") - both))  # noqa: E731,B023
         pairs = pairs.withColumn("left", budget - F.bit_count(cut("a").bitwiseXOR(cut("b"))).cast("int")).where("left >= 0")
         pairs = pairs.where((cut("a") < cut("b")) | ((F.col("a_depth") == F.col("b_depth")) & (F.col("a") == F.col("b"))))
         pairs = materialise(pairs, "trie-pairs")
-        ready = pairs.where("a_is_leaf and b_is_leaf")
-        done = ready if done is None else done.union(ready)
-        pairs = pairs.where("not (a_is_leaf and b_is_leaf)")
-        if pairs.isEmpty():
-            return done
 
 
-def near_links(prints: DataFrame, budget: int = 3, most: int = 1 << 12, step: int = 2) -> DataFrame:
+def near_links(prints: DataFrame, budget: int = 3, most: int | None = None, step: int = 2) -> DataFrame:
     """Links (seed, u, v), u < v, that connect exactly the fingerprints connected by pairs ``budget`` bits apart or less.
 
     ``prints`` holds distinct (seed, fingerprint); only those of one seed are compared. The trie is cut into leaves of
     ``most`` values; the walk of node pairs from the root down to leaves runs as joins of small tables, and below, each
     pair of leaves is walked in one task on two sorted arrays. A pair of leaves gives the forest that connects its
     values, at most one link a value, never all pairs.
+
+    A leaf is sent to each leaf within the budget: cut d bits deep, each value is sent 1 + d + d(d-1)/2 +
+    d(d-1)(d-2)/6 times for a budget of 3. So leaves are as large as a task holds with ease, 2^18 values of 8 bytes
+    (d is 6, 42 copies, for 10 million fingerprints, and 16, 697 copies, for 10 billion), and smaller only where
+    there would be too few for all cores. Their size changes no link.
     """
+    if most is None:
+        most = max(1 << 12, min(1 << 18, prints.count() // (4 * prints.sparkSession.sparkContext.defaultParallelism)))
     if most < 16 or step not in (2, 4):
         raise ValueError("leaves hold 16 values at least; a step is 2 or 4 bits")
     leaves, children = _leaves(prints, most, step)
@@ -222,7 +246,8 @@ def near_links(prints: DataFrame, budget: int = 3, most: int = 1 << 12, step: in
     return work.mapInArrow(run, "seed int, u long, v long")
 
 
-def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, budget: int = 3, most: int = 1 << 12, keep: list[str] | None = None) -> DataFrame:
+@adds("fingerprint", "component_id", "kept")
+def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, budget: int = 3, most: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """Add fingerprint (16 hex digits) and component_id, the smallest id reachable by links of near fingerprints.
 
     The fingerprint is taken over ``words``-word shingles of the lower-cased (A-Z) whole text, repeats included; a
@@ -235,7 +260,8 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
 
     A row without id gets the component of its fingerprint but can't name it; if no id is reachable it is null.
     Rows that repeat an id are rows of their own. Extra columns pass through; columns named as the added ones are
-    replaced. An empty table gives no rows.
+    replaced. Ties don't occur: equal ids and texts share their decision but for kept. A very long text is worked off in
+    pieces. An empty table gives no rows.
     """
     marked = with_fingerprint(docs, text, words, "__fp", keep).withColumn("__row", F.monotonically_increasing_id())
     marked = materialise(marked, "simhash-rows")  # a written row keeps its number
@@ -245,74 +271,15 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     label = components(materialise(links.select("u", "v"), "simhash-links"))
     named = prints.join(label.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "first", F.coalesce("label", "fingerprint").alias("label"))
     named = materialise(named, "simhash-named")
-    least = materialise(named.groupBy("label").agg(F.min("first").alias("least")), "simhash-least")
+    least = named.groupBy("label").agg(F.min("first").alias("least"))
     known = named.join(least, "label").select(F.col("fingerprint").alias("__print"), F.col("least.id").alias("__id"), F.col("least.row").alias("__first"))
     known = materialise(known, "simhash-known")
+    discard(prints, named)
     out = marked.join(known, marked["__fp"] == known["__print"], "left")
     out = out.withColumns({"fingerprint": F.lower(F.lpad(F.hex("__fp"), 16, "0")), "component_id": F.col("__id"), "kept": F.col("__row") == F.col("__first")})
     return out.drop("__fp", "__print", "__id", "__first", "__row")
 
 
-def word_fingerprints(text: str | None, seeds: int) -> np.ndarray:
-    """``seeds`` independent fingerprints of the set of a text's words, A-Z lower-cased; zero without words."""
-    words = set((text or "").encode().lower().split())
-    if not words:
-        return np.zeros(seeds, np.uint64)
-    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
-    counts = np.zeros(64 * seeds, np.int64)
-    salt = (np.arange(1, seeds + 1, dtype=np.uint64) * np.uint64(STRIDE))[None, :]
-    for a in range(0, len(hashes), 255):  # so many bits sum up in a byte
-        mixed = hashes[a : a + 255, None] ^ salt
-        for factor in MIX:
-            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(factor)
-        mixed ^= mixed >> np.uint64(32)
-        counts += np.add.reduce(np.unpackbits(mixed.view(np.uint8).reshape(len(mixed), -1), axis=1), axis=0, dtype=np.uint8)
-    return np.packbits(counts * 2 > len(hashes)).view(np.uint64)
-
-
-def near_dedup_any(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", seeds: int = 8, budget: int = 3, most: int = 1 << 18) -> DataFrame:
-    """Add component_id and kept, where documents link if any of ``seeds`` fingerprints are ``budget`` bits apart or less.
-
-    The near copies of a corpus differ in a few words, each of which spoils five shingles of five words: at a
-    similarity of 0.8 by those, one fingerprint of shingles is five to fourteen bits apart, too far for a trie walk with a
-    small budget. Fingerprints of the set of words move less, and of eight independent ones some pair stays within three
-    bits: 116 of 117 pairs of similarity 0.8 or more in a sample of 7,000 documents, none of a similarity under 0.3. Pairs
-    between 0.5 and 0.8 link often, too.
-
-    Documents equal in all fingerprints are one class. The tries of all seeds are walked together; classes that share
-    a fingerprint, and those of linked ones, are connected through their first row, and components contracted.
-    A leaf is sent to each leaf within the budget, so leaves are large (2 MB): cut d bits deep, each value is sent
-    1 + d + d(d-1)/2 + d(d-1)(d-2)/6 times, which is 42 times for 10 million documents and 299 with leaves of 4096.
-
-    Nulls, empty texts, repeated ids and extra columns are treated as by :func:`near_dedup`: texts without words are
-    one group, rows without id are kept only where no row of their component has one.
-    """
-    columns = [c for c in docs.columns if c not in ("component_id", "kept")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = [word_fingerprints(t, seeds).view(np.int64) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(prints, pa.list_(pa.int64()))], [*columns, "__fps"])
-
-    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("__fps", T.ArrayType(T.LongType()))])
-    marked = materialise(docs.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "near-rows")
-    first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("__row").alias("row"))).alias("first")
-    classes = materialise(marked.groupBy("__fps").agg(first).select("__fps", "first", F.col("first.row").alias("node")), "near-classes")
-    each = classes.select("node", F.posexplode("__fps").alias("seed", "fingerprint"))
-    prints = materialise(each.groupBy("seed", "fingerprint").agg(F.min("node").alias("rep")), "near-prints")
-    shared = each.join(prints, ["seed", "fingerprint"]).where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
-    links = materialise(near_links(prints.select("seed", "fingerprint"), budget, most), "near-links")
-    at = lambda c: prints.select("seed", F.col("fingerprint").alias(c), F.col("rep").alias(f"rep_{c}"))
-    linked = links.join(at("u"), ["seed", "u"]).join(at("v"), ["seed", "v"]).select(F.least("rep_u", "rep_v").alias("u"), F.greatest("rep_u", "rep_v").alias("v"))
-    label = components(materialise(shared.union(linked).distinct(), "near-edges"))
-    named = materialise(classes.join(label, "node", "left").select("__fps", "first", F.coalesce("label", "node").alias("label")), "near-named")
-    least = materialise(named.groupBy("label").agg(F.min("first").alias("least")), "near-least")
-    known = named.join(least, "label").select(F.col("__fps").alias("__known"), F.col("least.id").alias("__id"), F.col("least.row").alias("__first"))
-    known = materialise(known, "near-known")
-    out = marked.join(known, marked["__fps"] == known["__known"], "left")
-    return out.withColumns({"component_id": F.col("__id"), "kept": F.col("__row") == F.col("__first")}).drop("__fps", "__known", "__id", "__first", "__row")
-
-
 def op3_simhash(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup(docs, keep=["doc_id"]).select("doc_id", "fingerprint", "component_id")

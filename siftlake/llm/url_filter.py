@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import materialise, read
+from siftlake.llm.common import adds, discard, materialise, read
 from siftlake.llm.line_dedup import LOWER, UPPER
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the url's path starts with its path.
@@ -36,6 +36,11 @@ def judged(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     return out.withColumns({"rule": rule, "__said": said})
 
 
+def _wide(value: str) -> str:
+    """A 64-bit integer as one whose products with others don't overflow."""
+    return f"CAST({value} AS DECIMAL(19, 0))"
+
+
 def spread(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, keep: int = KEEP) -> DataFrame:
     """Scores (kind, host, score) after ``rounds`` of personalised PageRank from ``seeds`` (kind, host, score).
 
@@ -47,37 +52,42 @@ def spread(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, keep: int =
     back = seeds.select("kind", "host", F.expr(f"(score * {100 - keep}) div 100").alias("score"))
     if links.isEmpty():
         return materialise(back, "spread")
-    now = seeds
+    now, before = seeds, None
     for _ in range(rounds):
-        passed = now.join(links, ["kind", "host"]).select("kind", F.col("to").alias("host"), F.expr("(score * part) div whole").alias("score"))
+        passed = now.join(links, ["kind", "host"]).select("kind", F.col("to").alias("host"), F.expr(f"{_wide('score')} * {_wide('part')} div whole").alias("score"))
         brought = passed.groupBy("kind", "host").agg(F.sum("score").alias("score")).select("kind", "host", F.expr(f"(score * {keep}) div 100").alias("score"))
-        now = materialise(brought.union(back).groupBy("kind", "host").agg(F.sum("score").alias("score")), "spread")
+        now, before = materialise(brought.union(back).groupBy("kind", "host").agg(F.sum("score").alias("score")), "spread"), now
+        if before is not seeds:
+            discard(before)
     return now
 
 
+@adds("host", "path", "rule", "verdict")
 def filter_urls(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", rounds: int = ROUNDS, keep: int = KEEP, least: float = 0.1) -> DataFrame:
     """Add host, path, rule and verdict to every page.
 
     The longest rule that fits the url decides. Else the host does: trust spreads from hosts along their links, from
     the share of pages that rules allow, and distrust against the links, from the share that rules block, so that who
     links to blocked hosts is held against them. A host is blocked if it has more distrust than trust, and at least
-    ``least`` times the mean of all hosts of pages.
+    ``least`` times the mean of all hosts of pages; as much of both (a tie) is allowed. Products of scores and counts
+    are decimals of 38 digits, so no number of pages or links overflows.
 
     Links within a host count for nothing. Null urls and such without :// have an empty host, which is judged like
-    any other. Repeated rows count as pages of their own. Null html has no links. Extra columns pass through, columns
+    any other. Repeated rows count as pages of their own. Null and empty html has no links; a very long one is searched
+    within its row, and gives a row for each of its links, summed before they are shuffled. Extra columns pass through, columns
     named as the added ones are replaced; an empty table gives no rows.
     """
     rated = judged(pages, rules, url)
     hosts = materialise(rated.groupBy("host").agg(F.count(F.when(F.col("__said") == "allow", 1)).alias("t"), F.count(F.when(F.col("__said") == "block", 1)).alias("d")), "hosts")
     whole = hosts.agg(F.greatest(F.coalesce(F.sum("t"), F.lit(0)), F.lit(1)).alias("t"), F.greatest(F.coalesce(F.sum("d"), F.lit(0)), F.lit(1)).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    seed = lambda kind: hosts.where(f"{kind} > 0").select(F.lit(kind).alias("kind"), "host", F.expr(f"({kind} * {UNIT}L) div {whole[kind]}L").alias("score"))
+    seed = lambda kind: hosts.where(f"{kind} > 0").select(F.lit(kind).alias("kind"), "host", F.expr(f"{_wide(kind)} * {_wide(UNIT)} div {whole[kind]}L").alias("score"))
     found = rated.select("host", F.explode(F.regexp_extract_all(F.col(html), F.lit(LINK), 1)).alias("to")).withColumn("to", F.translate("to", UPPER, LOWER)).where("host <> to")
     links = found.groupBy("host", "to").agg(F.count(F.lit(1)).alias("part"))
     both = materialise(links.select(F.lit("t").alias("kind"), "host", "to", "part").union(links.select(F.lit("d"), "to", "host", "part")), "host-links")
     sums = materialise(both.groupBy("kind", "host").agg(F.sum("part").alias("whole")), "host-sums")
     scores = spread(materialise(seed("t").union(seed("d")), "seeds"), materialise(both.join(sums, ["kind", "host"]), "host-shares"), rounds, keep)
     score = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0))
-    bad = scores.groupBy("host").agg(score("t").alias("t"), score("d").alias("d")).where((F.col("d") > F.col("t")) & (F.col("d") * max(whole["n"], 1) >= int(least * UNIT)))
+    bad = scores.groupBy("host").agg(score("t").alias("t"), score("d").alias("d")).where((F.col("d") > F.col("t")) & F.expr(f"{_wide('d')} * {_wide(max(whole['n'], 1))} >= {int(least * UNIT)}L"))
     bad = materialise(bad.select(F.col("host").alias("__bad")), "hosts-bad")
     out = rated.join(bad, rated["host"] == bad["__bad"], "left")
     out = out.withColumn("verdict", F.coalesce("__said", F.when(F.col("__bad").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))))

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlake.llm.common import flag_in_filter, materialise, read, scratch_folder, slot_filter
+from siftlake.llm.common import adds, flag_in_filter, materialise, read, scratch_folder, slot_filter
+from siftlake.sources.files import opened
 
 #: Bytes asked of an archive at a time.
 CHUNK = 1 << 16
@@ -150,14 +151,7 @@ def records(stream: BinaryIO, payloads: bool = True) -> Iterator[dict]:
         yield {"page_id": _page(said.get("warc-record-id")), "url": said.get("warc-target-uri"), "record_type": kind, "refers_to": _page(said.get("warc-refers-to")), "payload_bytes": full, "payload_digest": claimed, "payload": b"".join(kept) if payloads and kind == "response" else None}
 
 
-def _open(uri: str):
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
-
-
+@adds("payload", "refers_to")
 def with_revisits(pages: DataFrame, html: str = "html", page_id: str = "page_id", least: int = 0, slots: int = 1 << 22) -> DataFrame:
     """Add payload and refers_to: of records with equal payloads of ``least`` bytes or more, the largest page_id stays.
 
@@ -165,7 +159,7 @@ def with_revisits(pages: DataFrame, html: str = "html", page_id: str = "page_id"
     shuffle, all others go straight on. A key that many pages share is split by adaptive execution, since the other
     side is a table.
     """
-    out = pages.drop("payload", "refers_to").withColumn("payload", F.coalesce(F.col(html), F.lit("")).cast("binary"))
+    out = pages.withColumn("payload", F.coalesce(F.col(html), F.lit("")).cast("binary"))
     out = out.withColumns({"__sha": F.sha2("payload", 256)}).withColumn("__key", F.xxhash64("__sha"))
     repeated = out.where(F.octet_length("payload") >= least).groupBy("__sha", "__key").agg(F.count(F.lit(1)).alias("n"), F.max(page_id).alias("__stays")).where("n > 1")
     repeated = materialise(repeated.select(F.col("__sha").alias("__group"), F.col("__key").alias("k"), "__stays"), "warc-repeated")
@@ -182,7 +176,7 @@ def write(pages: DataFrame, folder: str, html: str = "html", page_id: str = "pag
 
     An attempt writes a file under a name of its own and tells it when it is whole; what a lost executor or a second
     attempt left is never listed. The list is a table, so reading doesn't write again. Null html is an empty payload,
-    a null url no field, a null page_id an empty name. Repeated rows are records of their own: those of the
+    a null url no field, a null page_id an empty name. A very long payload is one record, packed at once. Repeated rows are records of their own: those of the
     staying page_id are all responses. An empty table gives no archive. Extra columns are left out.
     """
     rows = with_revisits(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html")), least=least).select("page_id", "url", "payload", "refers_to")
@@ -191,7 +185,7 @@ def write(pages: DataFrame, folder: str, html: str = "html", page_id: str = "pag
         out, n, path = None, 0, f"{folder.rstrip('/')}/{uuid.uuid4().hex}.warc.gz"
         for batch in batches:
             if out is None and batch.num_rows:
-                system, name = _open(path)
+                system, name = opened(path)
                 system.create_dir(name.rpartition("/")[0], recursive=True)
                 out = system.open_output_stream(name, compression=None)
             columns = [batch.column(c) for c in ("page_id", "url", "payload", "refers_to")]
@@ -213,7 +207,7 @@ def scan(archives: DataFrame, payloads: bool = True, rows: int = 64) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                system, name = _open(path)
+                system, name = opened(path)
                 with system.open_input_stream(name, compression=None) as stream:
                     group = []
                     for r in records(stream, payloads):

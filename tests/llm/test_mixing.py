@@ -58,3 +58,17 @@ def test_schedules_shape_the_order(spark):
     docs = spark.range(900).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
     mean = {r["source"]: r["m"] for r in in_order(mix(docs)).groupBy("source").agg(F.avg("position").alias("m")).collect()}
     assert mean["s0"] < mean["s1"] - 0.02 < mean["s2"] - 0.04
+
+
+def test_crowds_without_id(spark):
+    """Equal rows without id get places of their own, all over the order, and reruns agree."""
+    rows = [(None, "same text here", "a")] * 900 + [(None, None, "a")] * 50 + [(i, "x y", "b") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"Size": F.lit("x"), "__md5": F.lit("y")})
+    seen = []
+    for parts in (3, 7):
+        got = mix(docs.repartition(parts)).collect()
+        assert len(got) == len(rows) and {r["__md5"] for r in got} == {"y"}
+        alike = [r["positions"][0] for r in got if r["text"] == "same text here"]
+        assert len(set(alike)) == 900 and max(alike) > 0.5 > min(alike)
+        seen.append(sorted((str(r["doc_id"]), str(r["text"]), r["taken"], r["positions"]) for r in got))
+    assert seen[0] == seen[1]

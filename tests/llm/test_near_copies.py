@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftlake.llm.near_copies import near_copies, shingle_set
+from siftlake.llm.near_copies import near_copies, shingle_set, word_fingerprints, word_hashes
 
 
 def shingles(text, words=5):
@@ -50,6 +50,20 @@ def test_shingles():
     assert shingle_set("a b c d e f").tolist() == shingle_set("A  b C\td e F").tolist() != shingle_set("f e d c b a").tolist()
 
 
+def test_fingerprints():
+    """Bits by hand: those in over half of the words' mixed hashes; none without words."""
+    words = np.unique(word_hashes("Some words, some more words; and some others. " * 3))
+    got = word_fingerprints(word_hashes("some others. and WORDS; more some words, Some"), 16)
+    salted = np.stack([words ^ np.uint64(s * 0x9E3779B97F4A7C15 % 2**64) for s in range(1, 13)], 1)
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        salted = (salted ^ (salted >> np.uint64(31))) * np.uint64(factor)
+    salted ^= salted >> np.uint64(32)
+    bits = np.unpackbits(salted.view(np.uint8).reshape(len(words), -1), axis=1).sum(0) * 2 > len(words)
+    assert [f"{int(x):064b}"[:48] for x in got] == ["".join("01"[int(b)] for b in bits[48 * k : 48 * k + 48]) for k in range(16)]
+    assert not (got & np.uint64(0xFFFF)).any() and not word_fingerprints(word_hashes(" "), 16).any()
+    assert word_fingerprints(words, 16).tolist() == got.tolist()
+
+
 def test_order_counts(spark):
     """The same words in another order are no near copy, nor are texts that differ in too many places."""
     draw = np.random.default_rng(3)

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from siftlake.llm.components import components
-from siftlake.llm.simhash import fingerprint, forest, near_dedup, near_dedup_any, near_links, op3_simhash, walk, word_fingerprints
+from siftlake.llm.simhash import fingerprint, forest, near_dedup, near_links, op3_simhash, walk
 
 
 def plain(text, words=3):
@@ -54,6 +54,16 @@ def test_fingerprint():
         assert fingerprint(t, 5) == plain(t, 5), t
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    from siftlake.llm import simhash
+
+    whole = simhash.word_pieces
+    text = " ".join(f"Word{i % 97}" for i in range(3000))
+    for size in (1, 50, 1 << 20):
+        monkeypatch.setattr(simhash, "word_pieces", lambda t, size=size: whole(t, size))
+        assert fingerprint(text) == plain(text) and fingerprint("a b") == plain("a b")
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_walk_finds_all_pairs(seed):
     v = crowded(500, seed)
@@ -124,33 +134,3 @@ def test_query(spark, sf_dir):
     prints = [plain(text[r["doc_id"]]) for r in got]
     assert [int(r["fingerprint"], 16) for r in got] == prints
     assert [r["component_id"] for r in got] == [got[i]["doc_id"] for i in reach(prints)]
-
-
-def test_any_of_several(spark):
-    """Near copies of long texts are one group, others stay; against brute force over all fingerprints."""
-    draw = np.random.default_rng(5)
-    vocabulary = [f"w{i}" for i in range(4000)]
-    rows = []
-    for g in range(12):
-        base = list(draw.choice(vocabulary, 250))
-        for c in range(1 + g % 4 * 3):
-            near = list(base)
-            for i in draw.integers(0, 250, 4 * bool(c)):
-                near[int(i)] = str(draw.choice(vocabulary))
-            rows.append((len(rows), " ".join(near), g))
-    n = len(rows)
-    rows += [(n, None, 90), (n + 1, "", 90), (None, "alone", 91), (n + 2, rows[1][1].upper(), rows[1][2]), (0, rows[0][1], rows[0][2])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, label int").withColumn("component_id", F.lit("x"))
-    got = near_dedup_any(docs, most=16).collect()
-    prints = [word_fingerprints(r["text"], 8) for r in got]
-    root = list(range(len(got)))
-    for i in range(len(got)):
-        for j in range(i):
-            if (np.bitwise_count(prints[i] ^ prints[j]) <= 3).any():
-                old, new = sorted((root[i], root[j]), reverse=True)
-                root = [new if x == old else x for x in root]
-    for i, r in enumerate(got):
-        ids = [x["doc_id"] for k, x in enumerate(got) if root[k] == root[i] and x["doc_id"] is not None]
-        assert r["component_id"] == min(ids, default=None)
-    assert sum(r["kept"] for r in got) == len(set(root)) == len({r["label"] for r in got})
-    assert near_dedup_any(docs.limit(0)).count() == 0

@@ -114,6 +114,19 @@ def test_url_links(spark, tmp_path):
     assert {r["host"]: r["score"] for r in url_filter.spread(seeds, links, 3).collect()} == now
 
 
+def test_url_counts_beyond_64_bits(spark):
+    """Ten million pages of a host, and as many links, as counts; and odd rows."""
+    seeds = spark.createDataFrame([("t", "a", 10**12)], "kind string, host string, score long")
+    links = spark.createDataFrame([("t", "a", "b", 10**7, 10**7 + 1)], "kind string, host string, to string, part long, whole long")
+    assert {r["host"]: r["score"] for r in url_filter.spread(seeds, links, 1).collect()} == {"a": 15 * 10**10, "b": 10**12 * 10**7 // (10**7 + 1) * 85 // 100}
+    t = spark.range(1).select((F.lit(10**7) * 10**3).alias("t"))
+    assert t.select(F.expr(f"{url_filter._wide('t')} * {url_filter._wide(url_filter.UNIT)} div {10**10}L")).first()[0] == url_filter.UNIT
+    rows = [(1, "http://bad.org/es/1", '<a href="http://x.com/">' * 20_000), (1, "http://bad.org/es/1", None), (None, None, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"Host": F.lit(1), "__said": F.lit(2)})
+    got = url_filter.filter_urls(pages).collect()
+    assert len(got) == 3 and {r["__said"] for r in got} == {2} and [r["verdict"] for r in got if r["page_id"]] == ["block"] * 2
+
+
 def test_url_query(spark, sf_dir, tmp_path):
     compare(spark, sf_dir, url_filter.op6_url_filter, url_filter.OP6_SQL)
     spark.createDataFrame(LINKED, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "p"))
@@ -151,17 +164,52 @@ def test_maxscore_prunes_many_rows():
 
 
 def test_top_k_rows(spark):
-    rows = [(0, [1.0, 2.0]), (50, [0.5, -1.0]), (1, [3.0, 3.0]), (2, [3.0, 3.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, []), (8, [9.0]), (None, [5.0, 5.0]), (100, None), (9, [3e38, -3e38]), (10, [0.001, -0.001]), (1, [3.0, 3.0])]
+    rows = [(0, [1.0, 2.0]), (50, [0.5, -1.0]), (1, [3.0, 3.0]), (2, [3.0, 3.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, []), (8, [9.0]), (None, [5.0, 5.0]), (100, None), (9, [3e38, -3e38]), (10, [0.001, -0.001]), (1, [3.0, 3.0]), (50, [2.0, 2.0]), (50, [2.0, 2.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"score": F.lit("x"), "shard": F.lit(1)})
-    got = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), shard_rows=4, query_rows=1).collect()
+    got = topk.top_k(vectors, F.col("vec_id") % 50 == 0, most=4, least=1).collect()
     fine = [(i, [int(np.floor(256 * np.float64(np.float32(x)))) for x in v] + [0] * (2 - len(v))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(np.float32(x)) for x in v)]
-    for q in (0, 50):
-        query = next(v for i, v in fine if i == q)
-        want = best(query, q, [v for _, v in fine], [i for i, _ in fine], 5)
-        clip = lambda x: min(max(x, topk.LONG[0]), topk.LONG[1])
-        assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(i, clip(-s)) for s, i in want]
-    assert {r["query_id"] for r in got} == {0, 50} and topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
+    clip = lambda x: min(max(x, topk.LONG[0]), topk.LONG[1])
+    want = []
+    for at, (q, query) in enumerate(fine):
+        if q % 50 == 0:  # every such row asks, and leaves out itself alone
+            numbered = best(query, at, [v for _, v in fine], list(range(len(fine))), len(fine))
+            want += [(q, n + 1, i, clip(-s)) for n, (s, i) in enumerate(sorted((s, fine[k][0]) for s, k in numbered)[:5])]
+    assert sorted(tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in got) == sorted(want)
+    others = topk.top_k(vectors.where("vec_id < 3"), queries=vectors.where("vec_id = 8"), k=2).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in others) == [(8, 1, 1, 2304 * 768), (8, 2, 1, 2304 * 768)]
+    assert topk.top_k(vectors.limit(0), F.lit(True)).count() == 0
+
+
+def test_known_scores_prune_without_loss():
+    draw = np.random.default_rng(5)
+    rows, query = np.floor(256 * draw.normal(0, 0.1, (3000, 16))), np.floor(256 * draw.normal(0, 0.1, 16))
+    score = np.sort(rows @ query)
+    for known in (score[-5], score[-1], score[-1] + 1):
+        got = topk.maxscore(query, -1, rows, np.arange(3000), 5, known=known)[1]
+        assert sorted(s for s in got if s >= known) == [s for s in score[-5:] if s >= known]
 
 
 def test_top_k_query(spark, sf_dir):
     compare(spark, sf_dir, topk.op5_topk, topk.OP5_SQL)
+
+
+def test_file_names():
+    from siftlake.sources.files import opened
+
+    assert opened("/a/b")[1] == "/a/b" and opened("file:///a/b")[1] == "/a/b" and opened("file:/a/b")[1] == "/a/b" and opened("dbfs:/x/y")[1] == "/dbfs/x/y"
+    with pytest.raises(ValueError):
+        opened("wasb://a@b/c")
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    from siftlake.llm import common
+
+    class Far:
+        master, applicationId = "spark://h:7077", "far"
+        getConf = spark.sparkContext.getConf
+
+    class Session:
+        sparkContext, conf = Far, spark.conf
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.scratch_folder(Session)
