@@ -190,14 +190,15 @@ def proposed_groups(classes: DataFrame, seeds: int, budget: int, most: int | Non
 
 
 @adds("component_id", "kept")
-def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, share: tuple[int, int] = (4, 5), seeds: int = 16, budget: int = 2, most: int | None = None) -> DataFrame:
+def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, share: tuple[int, int] = (4, 5), seeds: int = 24, budget: int = 2, most: int | None = None) -> DataFrame:
     """Add component_id and kept, where documents link if the Jaccard similarity of their shingle sets is ``share`` (a fraction) or more.
 
     Shingles are ``words`` words of the A-Z lower-cased text in their order; a shorter text is one shingle. Candidates
     come from SimHash near-dedup: ``seeds`` fingerprints of the set of words, of 48 bits each, are linked where they
     differ in ``budget`` bits or less by the binary trie self-join, and what they connect is a group. A word that is
     replaced spoils five shingles but moves a fingerprint of words little: at a similarity of 0.8 two of 48 bits
-    or less differ with a chance of 0.4, so that one of sixteen does nearly always (README: measured recall). Within
+    or less differ with a chance of 0.4, of 0.13 in texts of some sixty words, so that one of 24 nearly always does
+    (README: measured recall). Within
     groups the exact similarity decides, by :func:`similar_links`: no pair of a group is missed and none below the
     share links, but for equal 64-bit hashes of unequal shingles. Components are those of the links: component_id is the
     smallest id of one, kept is true for one row of each, that of the smallest id.
