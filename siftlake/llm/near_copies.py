@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ from siftlake.llm.simhash import MIX, STRIDE, near_links
 COUNTERS, SLOTS = 1 << 18, 1 << 22
 #: Bytes of shingle sets that are compared at once, and bits of each fingerprint.
 PART, BITS = 1 << 24, 48
+#: 64-bit words of a sketch, which bounds how many shingles two sets can share.
+SKETCH = 8
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -67,6 +71,16 @@ def word_fingerprints(words: np.ndarray, seeds: int) -> np.ndarray:
     return out.view(">u8")[:, 0].astype(np.uint64)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * SKETCH classes of shingles: whether the set has an odd number of them.
+
+    A shingle that one set has and the other lacks flips one bit, so two sketches differ in as many bits as the sets do in
+    shingles, or in fewer.
+    """
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray, share: tuple[int, int] = (4, 5)) -> bool:
     """Whether the Jaccard similarity of two shingle sets is ``share`` or more."""
     top, bottom = share
@@ -124,12 +138,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
 def similar_links(reps: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Links (u, v) whose components are exactly those of all pairs of one group that are similar.
 
-    ``reps`` has (node, group, n, weight, prefix), ``sets`` (node, shingles). Similar sets share a key of their prefixes;
+    ``reps`` has (node, group, n, weight, prefix, s0, s1 ...: the sketch), ``sets`` (node, shingles). Similar sets share a key of their prefixes;
     a key stands for a shingle within a group. Keys with the same rows are one. First each row is compared with the
     weightiest of its key, which in a crowd of copies is the one most like the others; what this links is contracted.
     Then all pairs that share a key and are in two components yet are compared, unless the count of keys that their
-    prefixes share rules them out: beyond them, a pair can share what the prefix that ends first leaves. That test sits
-    in the join, so a crowd doesn't become a row for each pair; rows that share too few keys with any don't join.
+    prefixes share rules them out, as beyond them a pair can share what the prefix that ends first leaves, or their sketches
+    do, as they differ in more bits than similar sets can in shingles. Those tests sit in the join, so a crowd doesn't
+    become a row for each pair; rows that share too few keys with any don't join.
     """
     top, bottom = share
     close = lambda a, b: (F.col(a) * bottom >= F.col(b) * top) & (F.col(b) * bottom >= F.col(a) * top)
@@ -152,14 +167,18 @@ def similar_links(reps: DataFrame, sets: DataFrame, share: tuple[int, int]) -> D
     split = rest.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("n").alias("lo"), F.max("n").alias("hi")).where("a <> b").select("key", "lo", "hi")
     rest = materialise(rest.join(split, "key"), "near-split")
     several = materialise(rest.select("node").distinct(), "near-several")
-    prefixes = reps.join(several, "node").select("node", "prefix")
+    traits = [f"s{i}" for i in range(SKETCH)]
+    prefixes = reps.join(several, "node").select("node", "prefix", *traits)
     lo, hi = F.greatest("lo", F.col("n") * top / bottom), F.least("hi", F.col("n") * bottom / top)
     can = lambda e: F.size("prefix") + F.greatest(F.col("n"), e) * top / bottom + 0.001 >= (F.col("n") + e) * top / (top + bottom)
-    rest = materialise(rest.join(prefixes, "node").where(can(lo) | can(hi)).select("key", "node", "n", "comp", "prefix"), "near-crossing")
-    side = lambda s: rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "prefix")))
+    rest = materialise(rest.join(prefixes, "node").where(can(lo) | can(hi)).select("key", "node", "n", "comp", "prefix", *traits), "near-crossing")
+    side = lambda s: rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "prefix", *traits)))
+    differ = reduce(add, (F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in traits))
+    both = F.col("n_a") + F.col("n_b")
+    alike = differ <= both - 2 * F.ceil(both * top / (top + bottom) - 0.001)
     beyond = F.greatest(*(F.ceil(F.col(n) * top / bottom) - 1 for n in ("n_a", "n_b")))
     likely = (F.size(F.array_intersect("prefix_a", "prefix_b")) + beyond) * (top + bottom) >= (F.col("n_a") + F.col("n_b")) * top
-    more = side("a").join(side("b"), "key").where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & close("n_a", "n_b") & likely)
+    more = side("a").join(side("b"), "key").where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & close("n_a", "n_b") & alike & likely)
     more = materialise(more.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti"), "near-pairs")
     out = links.union(_verified(more, sets, share))
     discard(repeated, held, members, pairs, rest, several, more)
@@ -244,16 +263,19 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, weights, out = [], [], []
+            sizes, weights, out, traits = [], [], [], []
             for found in _sets(batch.column("shingles")):
                 seen = counters.value[(found % np.uint64(COUNTERS)).astype(np.int64)]
                 n = len(found)
                 sizes.append(n)
                 weights.append(int(seen.sum()) // max(1, n))
                 out.append(found[np.lexsort((found, seen))][: n + (-n * top // bottom) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("group"), pa.array(sizes, pa.int64()), pa.array(weights, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["node", "group", "n", "weight", "prefix"])
+                traits.append(sketch(found))
+            columns_of = np.stack(traits).T if traits else np.zeros((SKETCH, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("group"), pa.array(sizes, pa.int64()), pa.array(weights, pa.int64()), pa.array(out, pa.list_(pa.int64())), *map(pa.array, columns_of)], ["node", "group", "n", "weight", "prefix", *names])
 
-    reps = materialise(sets.mapInArrow(prefixes, "node long, group long, n long, weight long, prefix array<long>"), "near-prefixes")
+    names = [f"s{i}" for i in range(SKETCH)]
+    reps = materialise(sets.mapInArrow(prefixes, "node long, group long, n long, weight long, prefix array<long>, " + ", ".join(f"{c} long" for c in names)), "near-prefixes")
     label = components(similar_links(reps, sets, share))
 
     named = materialise(classes.drop("fps").join(label, "node", "left").select("__set", "first", "rows", F.col("label").isNotNull().alias("linked"), F.coalesce("label", "node").alias("label")), "near-named")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftlake.llm.near_copies import near_copies, shingle_set, word_fingerprints, word_hashes
+from siftlake.llm.near_copies import near_copies, shingle_set, sketch, word_fingerprints, word_hashes
 
 
 def shingles(text, words=5):
@@ -64,6 +64,14 @@ def test_fingerprints():
     assert word_fingerprints(words, 16).tolist() == got.tolist()
 
 
+def test_sketches_never_differ_in_more_than_the_sets():
+    draw = np.random.default_rng(2)
+    for _ in range(300):
+        pool = draw.integers(0, 2**64, draw.integers(2, 600), dtype=np.uint64)
+        a, b = (np.unique(draw.choice(pool, draw.integers(1, len(pool) + 1))) for _ in range(2))
+        assert np.bitwise_count(sketch(a) ^ sketch(b)).sum() <= len(np.setxor1d(a, b))
+
+
 def test_order_counts(spark):
     """The same words in another order are no near copy, nor are texts that differ in too many places."""
     draw = np.random.default_rng(3)
