@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftlake.functions.filters import bits_of_bytes, codes
+from siftlake.functions.filters import bits_of_bytes, byte_at, codes
 
 
 def chunks(df: DataFrame, key: Sequence[str], data: str = "filter") -> DataFrame:
@@ -44,8 +44,12 @@ def ordered(keys: DataFrame) -> DataFrame:
     return rated.withColumn("rank", F.row_number().over(W.orderBy(F.desc("selectivity"), "position")))
 
 
+#: Fixed value: how a key is written as text.
+KEY_TEXT = "IndexKey[%d, 0x%02x]"
+
+
 def key_text(position: Column, code: Column) -> Column:
-    return F.format_string("IndexKey[%d, 0x%02x]", position, code)
+    return F.format_string(KEY_TEXT, position, code)
 
 
 def entries(index: DataFrame, position: int, code: int | None = None) -> DataFrame:
@@ -69,23 +73,41 @@ def _none(index: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def search(index: DataFrame, key: Sequence[str], target: bytes, zero_target: str = "none", base: DataFrame | None = None) -> DataFrame:
-    """Keys whose filters contain ``target``: those with a fitting code at each of the target's positions.
+    """Keys whose filters contain ``target``, each once: those with a fitting code at each of the target's positions.
 
     The target is a constant, so the condition is one filter at the scan: positions as an IN list, which prunes
     partitions and row groups, and a bitwise test of codes. One aggregate with partial counts follows. A target
     without bits finds nothing, or with ``zero_target='all'`` every key of ``base``.
+
+    Hits are sets, as a Bloom index must never miss: a key with several index rows at a position, as of a row written
+    twice, counts there once. A ``key`` that is a part of the index's key, such as that of a whole partition, is found
+    if its rows together fit every position, maybe different ones at different positions.
     """
     parts = target_chunks(target)
     if not parts:
         return _none(index, key) if zero_target == "none" else (base if base is not None else index).select(*key).distinct()
-    fits = F.lit(False)
+    at = index.where(F.col("position").isin([p for p, _ in parts]))
+    if len(parts) > 63:  # too many for a condition each: their codes stand in a constant, by position
+        asked = dict(parts)
+        need = byte_at(F.lit(bytearray(asked.get(p, 0) for p in range(max(asked) + 1))), F.col("position"))
+        hits = at.where(F.col("code").bitwiseAND(need) == need)
+        return _divided(hits, key, "position").where(F.col("n") == len(parts)).select(*key)
+    fits, met = F.lit(False), F.lit(0).cast("long")
     for p, c in parts:
         fits = fits | ((F.col("position") == p) & (F.col("code").bitwiseAND(c) == c))
-    hits = index.where(F.col("position").isin([p for p, _ in parts])).where(fits)
-    return hits.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(parts)).select(*key)
+    hits = at.where(fits)
+    for i, (p, _) in enumerate(parts):
+        met = F.when(F.col("position") == p, F.lit(1 << i).cast("long")).otherwise(met)
+    return hits.groupBy(*key).agg(F.bit_or(met).alias("met")).where(F.col("met") == (1 << len(parts)) - 1).select(*key)
+
+
+def _divided(hits: DataFrame, key: Sequence[str], position: str, *more: Column) -> DataFrame:
+    """Distinct positions of each key as n. One shuffle by the key serves both steps."""
+    once = hits.repartition(*key).dropDuplicates([*key, position])
+    return once.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *more)
 
 
-def search_chain(index: DataFrame, key: Sequence[str], target: bytes) -> DataFrame:
+def search_chain(index: DataFrame, key: Sequence[str], target: bytes, zero_target: str = "none", base: DataFrame | None = None) -> DataFrame:
     """The same as a chain of semi joins in the order of selectivity.
 
     Each step reads one position and only supersets of its code. The survivors so far are the join's right side, where
@@ -93,12 +115,12 @@ def search_chain(index: DataFrame, key: Sequence[str], target: bytes) -> DataFra
     """
     parts = target_chunks(target)
     if not parts:
-        return _none(index, key)
+        return search(index, key, target, zero_target, base)
     out = None
     for p, c in parts:
         step = index.where((F.col("position") == p) & F.col("code").isin(superset_codes(c))).select(*key)
         out = step if out is None else step.join(out, list(key), "left_semi")
-    return out
+    return out.distinct()
 
 
 def expanded_targets(spark: SparkSession, targets: DataFrame) -> DataFrame:
@@ -117,8 +139,8 @@ def search_many(index: DataFrame, key: Sequence[str], targets: DataFrame) -> Dat
     execution broadcasts or splits by measured size. Relational division by counting follows.
     """
     wanted = expanded_targets(index.sparkSession, targets)
-    hits = index.join(wanted, ["position", "code"])
-    return hits.groupBy("query_id", *key).agg(F.count(F.lit(1)).alias("n"), F.first("parts").alias("parts")).where("n = parts").select("query_id", *key)
+    hits = index.join(wanted, ["position", "code"]).select("query_id", *key, "position", "parts")
+    return _divided(hits, ["query_id", *key], "position", F.first("parts").alias("parts")).where("n = parts").select("query_id", *key)
 
 
 def fetch(base: DataFrame, hits: DataFrame, key: Sequence[str], residual: Column | None = None) -> DataFrame:

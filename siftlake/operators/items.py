@@ -32,7 +32,7 @@ def with_filter(df: DataFrame, items: Column, shape: Shape, hashed: str = "md5",
 
 def chunks_of_items(df: DataFrame, key: list[str], items: Column, shape: Shape) -> DataFrame:
     """(key, position, code) straight from items, for rows of very many: bits are merged by OR in partial aggregates."""
-    bits = df.select(*key, F.explode(md5_bits(items, shape)).alias("bit"))
+    bits = df.select(*key, F.explode(md5_bits(F.array_distinct(items), shape)).alias("bit"))  # a word is hashed once a row
     each = bits.select(*key, (F.col("bit") / 8).cast("int").alias("position"), F.call_function("shiftleft", F.lit(1), (F.col("bit") % 8).cast("int")).alias("c"))
     return each.groupBy(*key, "position").agg(F.bit_or("c").alias("code"))
 

@@ -41,8 +41,12 @@ def apply_diff(index: DataFrame, changes: DataFrame, key: Sequence[str]) -> Data
 
 
 def upsert(index: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Index after ``rows`` (key, filter) were written: whatever a written key had goes, so no stale bit stays."""
-    return index.join(rows.select(*key), list(key), "left_anti").unionByName(chunks(rows, key).select(*index.columns))
+    """Index after ``rows`` (key, filter) were written: whatever a written key had goes, so no stale bit stays.
+
+    A key that ``rows`` repeats gets the OR of its filters, one index row a position.
+    """
+    new = chunks(rows, key).groupBy(*key, "position").agg(F.bit_or("code").alias("code"))
+    return index.join(rows.select(*key), list(key), "left_anti").unionByName(new.select(*index.columns))
 
 
 def delete(index: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:

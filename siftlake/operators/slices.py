@@ -33,18 +33,22 @@ def _range_of(by: str, cuts: list) -> Column:
 
 
 def ranked(df: DataFrame, by: str, ranges: int = 128) -> DataFrame:
-    """Add idx, 0, 1, 2 ... in the order of the column ``by``, whose values are unique.
+    """Add idx, 0, 1, 2 ... in the order of the column ``by``, whose values are unique; a null comes first.
 
     Rows are numbered within ranges of ``by`` and moved up by the rows of earlier ranges, so no task sees all rows.
-    Ranges end at approximate quantiles of a number, or else at prefixes of a hash, which then gives the order.
+    Ranges of numbers, dates and times end at approximate quantiles. Text and bytes have no such order: theirs is that
+    of a hash, by whose prefixes they are cut.
     """
-    if df.schema[by].dataType.typeName() in ("long", "integer", "short", "byte", "double", "float"):
-        cuts = df.agg(F.percentile_approx(by, [i / ranges for i in range(1, ranges)], 10_000).alias("c")).first()["c"] or []
-        part, order = _range_of(by, sorted(set(cuts))), [F.col(by)]
+    kind = df.schema[by].dataType.typeName()
+    if kind in ("long", "integer", "short", "byte", "double", "float", "boolean", "date", "timestamp", "timestamp_ntz", "decimal"):
+        number = F.unix_date(by) if kind == "date" else F.col(by).cast("timestamp").cast("double") if kind.startswith("timestamp") else F.col(by).cast("double") if kind == "decimal" else F.col(by).cast("int") if kind == "boolean" else F.col(by)
+        df = df.withColumn("__number", number)  # in the order of ``by``, if not always apart
+        cuts = df.agg(F.percentile_approx("__number", [i / ranges for i in range(1, ranges)], 10_000).alias("c")).first()["c"] or []
+        part, order = _range_of("__number", sorted(set(cuts))), [F.col(by)]
     else:
         part = F.conv(F.substring(F.md5(F.col(by).cast("string").cast("binary")), 1, 3), 16, 10).cast("int")
         order = [F.md5(F.col(by).cast("string").cast("binary")), F.col(by)]
-    rows = df.withColumn("__part", part)
+    rows = df.withColumn("__part", F.when(F.col(by).isNull(), F.lit(-1)).otherwise(part)).drop("__number")
     counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
     before = F.coalesce(F.sum("__rows").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("__part", before.alias("__start"))  # as many rows as ranges

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftlake.operators.slices import ranked
+
 #: Bits of a slot's flags.
 DELETED, UNINITIALISED = 1, 2
 
@@ -49,21 +52,50 @@ def matching(ids: DataFrame, idx: int, reference: int | None) -> DataFrame:
 def place(slots: DataFrame, keys: DataFrame, block: int | None, key: bytes) -> tuple[DataFrame, DataFrame, int]:
     """Store a key: in its own slot if it fits, else in the best fitting free one, else in a new one; the old is freed.
 
-    Returns slots, keys and the block used. One key at a time, as the slab table does; bulk loads write tables instead.
+    Returns slots, keys and the block used. One key at a time, as the slab table does, by one read of the driver: the own
+    slot, the best fit and the ends come in one row. Many keys at once go through :func:`load`.
     """
-    own = with_state(slots).where(F.col("block") == block).first() if block is not None else None
-    if own and own["alloc"] >= len(key):
+    state = with_state(slots)
+    fits = F.col("available") & (F.col("alloc") >= len(key))
+    at_own = F.col("block") == F.lit(block).cast("long")
+    seen = state.agg(F.max(F.when(at_own, F.col("alloc"))).alias("own"), F.min(F.when(fits, F.struct("alloc", "block")))["block"].alias("fit"), F.coalesce(F.max("block") + 1, F.lit(0)).alias("next"), F.coalesce(F.max(F.col("offset") + F.col("alloc")), F.lit(0)).alias("end")).first()
+    if seen["own"] is not None and seen["own"] >= len(key):
         at = block
     else:
-        fit = best_fit(slots, len(key)).first()
-        ends = slots.agg(F.coalesce(F.max("block") + 1, F.lit(0)).alias("block"), F.coalesce(F.max(F.col("offset") + F.col("alloc")), F.lit(0)).alias("end")).first()
-        at = fit["block"] if fit else ends["block"]
-        if not fit:
-            new = slots.sparkSession.createDataFrame([(at, 0, ends["end"], len(key), len(key))], "block long, flags int, offset long, len long, alloc long")
+        at = seen["next"] if seen["fit"] is None else seen["fit"]
+        if seen["fit"] is None:
+            new = slots.sparkSession.createDataFrame([(at, 0, seen["end"], len(key), len(key))], "block long, flags int, offset long, len long, alloc long")
             slots = slots.select("block", "flags", "offset", "len", "alloc").unionByName(new)
-        if own:
+        if seen["own"] is not None:
             slots = slots.withColumn("flags", F.when(F.col("block") == block, F.col("flags").bitwiseOR(DELETED)).otherwise(F.col("flags")))
     here = F.col("block") == at
     slots = slots.withColumns({"flags": F.when(here, F.lit(0)).otherwise(F.col("flags")), "len": F.when(here, F.lit(len(key))).otherwise(F.col("len"))})
     row = keys.sparkSession.createDataFrame([(at, bytearray(key))], "block long, key binary")
     return slots, keys.where(F.col("block") != at).unionByName(row), at
+
+
+def load(new: DataFrame, by: str = "idx", key: str = "key") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables (ids, slots, keys) of many keys, one slot each, in the order of the column ``by``.
+
+    Blocks are numbered, and offsets summed up, within ranges first, so no task sees all keys.
+    """
+    rows = ranked(new, by).select(F.col(by).alias("idx"), F.col("idx").alias("block"), F.col(key).alias("key"), F.octet_length(key).cast("long").alias("len")) if by != "idx" else ranked(new.withColumnRenamed("idx", "__id"), "__id").select(F.col("__id").alias("idx"), F.col("idx").alias("block"), F.col(key).alias("key"), F.octet_length(key).cast("long").alias("len"))
+    rows = rows.withColumn("group", (F.col("block") / 65536).cast("long"))
+    earlier = lambda w: F.coalesce(F.sum("len").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = rows.groupBy("group").agg(F.sum("len").alias("len")).select("group", earlier(W.orderBy("group")).alias("before"))
+    placed = rows.withColumn("offset", earlier(W.partitionBy("group").orderBy("block"))).join(groups, "group").withColumn("offset", F.col("before") + F.col("offset"))
+    return placed.select("idx", F.lit(True).alias("initialised"), F.col("block").alias("reference")), placed.select("block", F.lit(0).alias("flags"), "offset", "len", F.col("len").alias("alloc")), placed.select("block", "key")
+
+
+def delete(ids: DataFrame, slots: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ids, slots) after the ids of ``gone`` were deleted: their slots are free, their entries point nowhere."""
+    marked = ids.join(gone.select("idx", F.lit(True).alias("__gone")), "idx", "left").withColumn("__gone", F.coalesce("__gone", F.lit(False)))
+    freed = marked.where("__gone and initialised and reference is not null").select(F.col("reference").alias("block"), F.lit(DELETED).alias("__free")).distinct()
+    left = marked.select("idx", (F.col("initialised") & ~F.col("__gone")).alias("initialised"), F.when(~F.col("__gone"), F.col("reference")).alias("reference"))
+    flags = F.col("flags").bitwiseOR(F.coalesce("__free", F.lit(0)))
+    return left, slots.join(freed, "block", "left").withColumn("flags", flags).drop("__free")
+
+
+def free_list(slots: DataFrame) -> DataFrame:
+    """The available slots as they would be tried, rebuilt from the table: the smallest allocation first, then the smallest block."""
+    return with_state(slots).where("available").select("block", "alloc").orderBy("alloc", "block")

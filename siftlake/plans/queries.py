@@ -295,20 +295,21 @@ def busy_cardinality(spark, sf_dir):
 
 
 @query("""
-WITH a AS (SELECT DISTINCT o_custkey % 128 AS bit FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 50 = 0),
-b AS (SELECT DISTINCT c_custkey % 128 AS bit FROM customer WHERE c_acctbal < 0 AND c_custkey % 10 = 0)
+WITH a AS (SELECT DISTINCT o_custkey AS bit FROM orders WHERE o_orderstatus = 'P'), b AS (SELECT DISTINCT c_custkey AS bit FROM customer WHERE c_acctbal < 0)
 SELECT 'or' AS op, bit FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL
 SELECT 'and', bit FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL
 SELECT 'xor', bit FROM ((SELECT * FROM a UNION SELECT * FROM b) EXCEPT (SELECT * FROM a INTERSECT SELECT * FROM b))""")
 def bitmap_algebra(spark, sf_dir):
-    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    each = orders.where("o_orderstatus = 'P' and o_orderkey % 50 = 0").select(F.lit("a").alias("side"), (F.col("o_custkey") % 128).alias("bit"))
-    each = each.union(customers.where("c_acctbal < 0 and c_custkey % 10 = 0").select(F.lit("b"), F.col("c_custkey") % 128))
-    word = lambda side, w: F.coalesce(F.bit_or(F.when((F.col("side") == side) & ((F.col("bit") / 64).cast("int") == w), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int")))), F.lit(0).cast("long"))
-    both = each.agg(F.array(word("a", 0), word("a", 1)).alias("a"), F.array(word("b", 0), word("b", 1)).alias("b"))
+    """Customers as bits of two bitmaps, in rows of 64 words each, so that they may be of any width."""
+    each = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.lit(0).alias("side"), F.col("o_custkey").alias("bit"))
+    each = each.union(table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.lit(1), "c_custkey"))
+    words = each.groupBy("side", (F.col("bit") / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("word"))
+    zero = lambda side: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at(F.col(side), i), F.lit(0).cast("long")))
+    held = lambda side: F.map_from_entries(F.collect_list(F.when(F.col("side") == side, F.struct((F.col("w") % 64).cast("int"), "word"))))
+    blocks = words.groupBy((F.col("w") / 64).cast("long").alias("block")).agg(held(0).alias("a"), held(1).alias("b")).select("block", zero("a").alias("a"), zero("b").alias("b"))
     ops = {"or": B.word_or, "and": B.word_and, "xor": B.word_xor}
-    rows = both.select(F.explode(F.array(*[F.struct(F.lit(n).alias("op"), f(F.col("a"), F.col("b")).alias("w")) for n, f in ops.items()])).alias("r"))
-    return keyed_bits(rows.select("r.op", F.explode(B.set_bits(F.col("r.w"))).alias("bit")))
+    rows = blocks.select("block", F.explode(F.array(*[F.struct(F.lit(n).alias("op"), f(F.col("a"), F.col("b")).alias("w")) for n, f in ops.items()])).alias("r"))
+    return rows.select("r.op", "block", F.explode(B.set_bits(F.col("r.w"))).alias("bit")).select("op", (F.col("block") * 4096 + F.col("bit")).alias("bit"))
 
 
 CHANGED = """olds AS (SELECT p_partkey AS k, unnest(list_concat(string_split(p_name, ' '), [p_brand, p_type])) AS item FROM part),
@@ -534,3 +535,6 @@ def geonames_roundtrip(spark, sf_dir):
 @query()
 def shuffle_sample(spark, sf_dir):
     return flow.random_order(table(spark, sf_dir, "part").select("p_partkey"), 7).limit(100)
+
+
+from siftlake.plans import more_queries  # noqa: E402,F401  registers its queries

@@ -75,6 +75,21 @@ def test_zero_targets(spark):
     assert found(C.search(index, ["k"], B.bytes_of_bits([1, 120], SHAPE))) == []
 
 
+def test_repeated_keys_are_never_missed(spark):
+    """Several index rows of a key at a position, of one filter or of two, and keys that are part of the index's."""
+    rows = spark.createDataFrame([(1, "a", bytearray(B.bytes_of_bits(b, SHAPE))) for b in ({1, 9}, {1, 9}, {1})] + [(2, "a", bytearray(B.bytes_of_bits({1, 9, 20}, SHAPE))), (3, "b", bytearray(B.bytes_of_bits({9}, SHAPE))), (4, "b", bytearray(B.bytes_of_bits({1}, SHAPE)))], "k long, p string, filter binary")
+    index, t = C.chunks(rows, ["k", "p"]), B.bytes_of_bits([1, 9], SHAPE)
+    many = spark.createDataFrame([("q", bytearray(t))], "query_id string, target binary")
+    for got in (C.search(index, ["k"], t), C.search_chain(index, ["k"], t), C.search_many(index, ["k"], many)):
+        assert found(got) == [1, 2]
+    assert found(C.search(index, ["p"], t), "p") == found(C.search_chain(index, ["p"], t), "p") == ["a", "b"]
+    wide = Shape(4096, 2)
+    every = spark.createDataFrame([(i, bytearray(B.bytes_of_bits(range(0, 4096, 8), wide))) for i in (1, 1, 2)], "k long, filter binary")
+    assert found(C.search(C.chunks(every, ["k"]), ["k"], B.bytes_of_bits(range(0, 4096, 8), wide))) == [1, 2]
+    twice = maintain.upsert(index.select("k", "position", "code"), rows.where("k = 1").select("k", "filter"), ["k"])
+    assert twice.where("k = 1").count() == 2
+
+
 def test_three_phrases(spark):
     shape = Shape.from_np(10, 1 / 10)
     bits = lambda text: sorted({b for r in H.item_bits(text.split(" "), shape) for b in r})

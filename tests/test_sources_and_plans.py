@@ -68,6 +68,32 @@ def test_filter_source(spark, tmp_path):
     assert load().count() == 50 and load().where("g = 1").count() == 17
 
 
+def test_filter_source_reads_by_slices(spark, tmp_path, monkeypatch):
+    """Only row groups that hold the target are read, and the filters themselves not at all; odd filters are tested one by one."""
+    import pyarrow.parquet as pq
+
+    rows = [(i, bytearray(B.bytes_of_bits({i % 64, 100}, SHAPE))) for i in range(640)]
+    table = spark.createDataFrame(rows, "k long, filter binary").toArrow().sort_by("filter")
+    (tmp_path / "t").mkdir()
+    pq.write_table(table, tmp_path / "t" / "a.parquet", row_group_size=64)
+    assert filter_source.index(spark, str(tmp_path / "t")) > 0
+    reader = filter_source.FilterReader(str(tmp_path / "t"), "filter", ["k"], 1 << 20)
+    read, plain = [], pq.ParquetFile.read_row_group
+    monkeypatch.setattr(pq.ParquetFile, "read_row_group", lambda self, g, columns=None, **k: read.append((g, columns)) or plain(self, g, columns=columns, **k))
+    for target, want in ((B.bytes_of_bits({7, 100}, SHAPE), [i for i in range(640) if i % 64 == 7]), (B.bytes_of_bits({7, 101}, SHAPE), []), (bytes(16), list(range(640)))):
+        reader.target = target
+        read.clear()
+        got = sorted(k for p in reader.partitions() for b in reader.read(p) for k in b.column("k").to_pylist())
+        assert got == want
+        assert len(read) <= 2 and all(c == ["k"] for _, c in read) if any(target) else len(read) == 10
+    spark.createDataFrame([(1, bytearray(b"\1" * 8)), (2, bytearray(b"\1" * 16)), (3, None)], "k long, filter binary").coalesce(1).write.parquet(str(tmp_path / "odd"))
+    filter_source.index(spark, str(tmp_path / "odd"))
+    load = lambda: spark.read.format("bloom").option("path", str(tmp_path / "odd")).option("split", 1000).load()
+    filter_source.register(spark)
+    find = lambda t: sorted(r["k"] for r in load().where(F.col("filter") == F.lit(bytearray(t))).collect())
+    assert find(b"\1" * 8) == [1, 2] and find(b"\1" * 8 + bytes(8)) == [2] and find(b"\1" * 3) == [1, 2] and load().count() == 3
+
+
 def test_stored_indexes(spark, tmp_path):
     base = with_filter(spark.createDataFrame([(i, f"w{i % 5}", f"v{i % 3}") for i in range(90)], "k long, a string, b string"), F.array("a", "b"), SHAPE)
     t = B.bytes_of_bits(md5_item_bits(["w1", "v2"], SHAPE), SHAPE)
@@ -81,6 +107,26 @@ def test_stored_indexes(spark, tmp_path):
     assert keys(catalog.search(base, t, ["k"], index, residual=F.col("k") > 30)) == [k for k in want if k > 30]
     assert 60 <= index.estimated_rows() <= 100 and cut.estimated_rows() == 90
     assert index.build(base.limit(0)).table().count() > 0
+    for stored in (index, cut):
+        stored.insert(base.where("k < 3").select((F.col("k") + 500).alias("k"), "filter"))
+        stored.update(base.where("k = 7 or k = 8").select(F.when(F.col("k") == 7, 8).otherwise(7).alias("k"), "filter").union(base.limit(1).select((F.col("k") - 99).alias("k"), "filter")))
+        stored.delete(base.where("k >= 80"))
+        model = {r["k"]: bytes(r["filter"]) for r in base.collect()}
+        model |= {500 + k: model[k] for k in range(3)}
+        model[7], model[8] = model[8], model[7]
+        model = {k: f for k, f in model.items() if not 80 <= k < 90}
+        now = sorted(k for k, f in model.items() if all(a & b == b for a, b in zip(f, t, strict=True)))
+        assert keys(stored.search(t)) == now
+        stored.compact()
+        assert keys(stored.search(t)) == now and keys(stored.search(B.bytes_of_bits([3], SHAPE))) == sorted(k for k, f in model.items() if 3 in B.bits_of_bytes(f))
+    assert max(r["idx"] for r in cut.table("ids").collect()) < 93  # ids of rows that went are used again by later ones
+    cut.insert(base.where("k = 85"))
+    assert min(r["idx"] for r in cut.table("ids").where("k = 85").collect()) < 93
+    for few in (1, 10**6):
+        for zero in ("none", "all"):
+            ruled = catalog.ChunkIndex(spark, index.path, ["k"], ChunkOptions(zero_target=zero))
+            assert catalog.search(base.where("k < 80"), bytes(16), ["k"], ruled, few).count() == (80 if zero == "all" else 0)
+        assert keys(catalog.search(base, t + bytes(8), ["k"], index, few)) == [k for k in keys(catalog.search(base, t, ["k"], index, few))]
     index.truncate()
     assert index.table().count() == 0 and index.estimated_rows() == 0
     index.drop()
@@ -111,6 +157,12 @@ def test_stream(spark, tmp_path):
     found = lambda v: sorted(r["k"] for r in C.search(kept.index(), ["k"], target(v)).collect())
     assert found("a") == [3] and found("b") == [1] and found("late") == []
     assert kept.rows().count() == 3
+    again = StreamedIndex(spark, str(tmp_path / "t"), ["k"], ["at"], typed, F.col("v").isNull())  # after a restart, without new data
+    assert again.rows().count() == 3 and again.index().count() == kept.index().count()
+    touched = [p for p in (tmp_path / "t" / "data").iterdir() if p.name == "v1"][0]
+    assert len(list((touched / "rows").glob("bucket=*"))) <= 3
+    with pytest.raises(ValueError):
+        StreamedIndex(spark, str(tmp_path / "none"), ["k"], ["at"], typed).rows()
 
 
 def test_dump(spark, tmp_path):
