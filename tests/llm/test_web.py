@@ -119,7 +119,7 @@ def test_url_counts_beyond_64_bits(spark):
     seeds = spark.createDataFrame([("t", "a", 10**12)], "kind string, host string, score long")
     links = spark.createDataFrame([("t", "a", "b", 10**7, 10**7 + 1)], "kind string, host string, to string, part long, whole long")
     assert {r["host"]: r["score"] for r in url_filter.spread(seeds, links, 1).collect()} == {"a": 15 * 10**10, "b": 10**12 * 10**7 // (10**7 + 1) * 85 // 100}
-    t = spark.range(1).select((F.lit(10**7) * 10**3).alias("t"))
+    t = spark.range(1).select(F.lit(10**10).cast("long").alias("t"))
     assert t.select(F.expr(f"{url_filter._wide('t')} * {url_filter._wide(url_filter.UNIT)} div {10**10}L")).first()[0] == url_filter.UNIT
     rows = [(1, "http://bad.org/es/1", '<a href="http://x.com/">' * 20_000), (1, "http://bad.org/es/1", None), (None, None, "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"Host": F.lit(1), "__said": F.lit(2)})
@@ -201,15 +201,18 @@ def test_file_names():
         opened("wasb://a@b/c")
 
 
-def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+def test_scratch_needs_a_shared_folder():
     from siftlake.llm import common
 
+    class Conf(dict):
+        """Settings of a session whose warehouse is on each machine's own disk."""
+
     class Far:
-        master, applicationId = "spark://h:7077", "far"
-        getConf = spark.sparkContext.getConf
+        master, applicationId = "spark://h:7077", f"far-{uuid.uuid4().hex}"
+        getConf = staticmethod(Conf)
 
     class Session:
-        sparkContext, conf = Far, spark.conf
+        sparkContext, conf = Far, Conf({"spark.sql.warehouse.dir": "file:/warehouse"})
 
     with pytest.raises(ValueError, match="checkpoint"):
         common.scratch_folder(Session)
