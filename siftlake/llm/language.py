@@ -113,19 +113,40 @@ class Languages:
         return out
 
 
+def _edges(rows: DataFrame, sample: int) -> dict[str, int]:
+    """For each language of (lang, h) the hash up to which there are ``sample`` different ones, or the highest.
+
+    Hashes are even, so a bound that keeps four times the sample of a language's rows holds its lowest ones, and few
+    rows are ranked, however many a language has. Where ids repeat so much that it doesn't, all are ranked.
+    """
+    session = rows.sparkSession
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+
+    def ranked(some: DataFrame) -> dict[str, tuple[int, int]]:
+        order = W.partitionBy("lang").orderBy("h")
+        lowest = some.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
+        return {r["lang"]: (r["edge"], r["n"]) for r in lowest.groupBy("lang").agg(F.max("h").alias("edge"), F.count(F.lit(1)).alias("n")).collect()}
+
+    if not n:
+        return {}
+    bounds = session.createDataFrame([(x, min((1 << 63) - 1, -(1 << 63) + (4 * sample << 64) // k)) for x, k in n.items()], "lang string, most long")
+    found = ranked(rows.join(bounds, "lang").where("h <= most").select("lang", "h"))
+    if short := [x for x, k in n.items() if k > 4 * sample and found.get(x, (0, 0))[1] < sample]:
+        found |= ranked(rows.join(session.createDataFrame([(x,) for x in short], "lang string"), "lang", "left_semi"))
+    return {x: edge for x, (edge, _) in found.items()}
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = 1500, size: int = 1 << 18, probes: int = 3, least: int = 2, ratio: float = 0.4) -> Languages:
     """Fill the filter from at most ``sample`` documents of each language, those whose ids hash lowest, whole texts each.
 
     A language holds an n-gram that it shows ``least`` times or more, at ``ratio`` or more of the rate of the language
     which shows it most. N-grams are counted in Spark and come to the driver as ``size`` slot masks at most, of one
     64-bit word for each 64 languages. Every language is learned, however rare. Rows without language or text teach
-    nothing; of rows with equal hashes of their ids at the edge of the sample all or none are taken. Languages are
+    nothing; rows that share the hash of an id are taken together. Languages are
     ordered by n-grams, then name, and the first of equal counts is predicted.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string")).alias("h"))
-    # the rank is limited within each part before the shuffle, so a language of most rows sends a sample from each
-    last = rows.select("lang", "h").withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample).groupBy("lang").agg(F.max("h").alias("edge"))
-    edges = {r["lang"]: r["edge"] for r in last.collect()}  # a row for each language
+    edges = _edges(rows.select("lang", "h"), sample)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -135,6 +135,14 @@ def test_grams(size):
     assert sorted(L.grams(list(L.pieces(text, size)))[0].tolist()) == sorted(one(text).tolist())
 
 
+def test_sample_of_a_language(spark):
+    """The lowest hashes of each language, however many rows it has and however often an id is repeated."""
+    rows = [("hot", h) for h in np.random.default_rng(4).integers(-(2**63), 2**63 - 1, 3000).tolist()] + [("few", 5), ("few", 7), ("same", 42)] + [("same", 42)] * 500
+    got = L._edges(spark.createDataFrame(rows, "lang string, h long"), 20)
+    assert got == {"hot": sorted(h for x, h in rows if x == "hot")[19], "few": 7, "same": 42}
+    assert L._edges(spark.createDataFrame([], "lang string, h long"), 20) == {}
+
+
 def test_many_languages(spark):
     """All of 70 languages are learned, the rarest from its few documents; the model's n-grams are those of exact counting."""
     draw = np.random.default_rng(1)
