@@ -266,8 +266,9 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     marked = with_fingerprint(docs, text, words, "__fp", keep).withColumn("__row", F.monotonically_increasing_id())
     marked = materialise(marked, "simhash-rows")  # a written row keeps its number
     first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("__row").alias("row"))).alias("first")
-    prints = materialise(marked.groupBy("__fp").agg(first).withColumnRenamed("__fp", "fingerprint"), "simhash-prints")
-    links = near_links(prints.select(F.lit(0).alias("seed"), "fingerprint"), budget, most)
+    prints = marked.groupBy("__fp").agg(first).withColumnRenamed("__fp", "fingerprint")
+    prints = materialise(prints.withColumn("seed", F.lit(0)), "simhash-prints")  # a stored seed stays a key of the trie's joins
+    links = near_links(prints.select("seed", "fingerprint"), budget, most)
     label = components(materialise(links.select("u", "v"), "simhash-links"))
     named = prints.join(label.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "first", F.coalesce("label", "fingerprint").alias("label"))
     named = materialise(named, "simhash-named")
