@@ -20,7 +20,7 @@ from siftlake.llm.simhash import MIX, STRIDE, near_links
 #: Counters that order shingles, rare ones first, and bits of the row filters; both fixed, whatever the input.
 COUNTERS, SLOTS = 1 << 18, 1 << 22
 #: Bytes of shingle sets that are compared at once, and bits of each fingerprint.
-PART, BITS = 1 << 24, 48
+PART, BITS = 1 << 22, 48
 #: 64-bit words of a sketch, which bounds how many shingles two sets can share.
 SKETCH = 8
 

@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from siftlake.llm.common import adds, discard, materialise, read, word_pieces
 from siftlake.llm.components import components
 
-#: Shingles whose bits are counted at once, and node pairs that one step of the walk expands.
-BLOCK = 1 << 16
+#: Shingles whose bits are counted at once, node pairs that one step of the walk expands, and values that it compares at once.
+BLOCK, NODES, AREA = 1 << 14, 1 << 13, 1 << 17
 #: Odd multipliers that make independent hashes of one.
 STRIDE, MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -71,15 +71,15 @@ def walk(a: np.ndarray, b: np.ndarray, budget: int, depth: int, same: bool) -> I
     stack = [(depth, np.array([[0, len(a), 0, len(b), budget]], np.int64))]
     while stack:
         depth, nodes = stack.pop()
-        if len(nodes) > BLOCK:
-            stack += [(depth, nodes[i : i + BLOCK]) for i in range(0, len(nodes), BLOCK)]
+        if len(nodes) > NODES:
+            stack += [(depth, nodes[i : i + NODES].copy()) for i in range(0, len(nodes), NODES)]
             continue
         wide, high = nodes[:, 1] - nodes[:, 0], nodes[:, 3] - nodes[:, 2]
         small = (wide * high <= 64) | (depth >= 64)
         if small.any():
             leaf = nodes[small]
             areas = (wide * high)[small]
-            for i in _slices(areas, 1 << 20):
+            for i in _slices(areas, AREA):
                 part, area = leaf[i], areas[i]
                 of = np.repeat(np.arange(len(part)), area)
                 k = np.arange(int(area.sum())) - np.repeat(np.cumsum(area) - area, area)
