@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlake.llm.common import adds, read
+from siftlake.llm.common import adds, by_batches, read
 
 OTHER, LETTER, NUMBER, SPACE, EDGE = 0, 1, 2, 3, 4
 #: The code points of Unicode's White_Space, which the pattern's \s stands for.
@@ -295,7 +295,7 @@ def encode(docs: DataFrame, text: str = "text", ranks_path: str | None = None, v
                 columns = [pa.array(ids, pa.binary()), pa.array(offsets, pa.binary()), pa.array(counts, pa.int64()), *[pa.array(exact, pa.bool_())] * verify]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns], [*keep, *names])
 
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *added]))
+    return by_batches(docs, run, T.StructType([*(docs.schema[c] for c in keep), *added]))
 
 
 @adds("decoded")
@@ -316,7 +316,7 @@ def decode(tokens: DataFrame, ranks_path: str | None = None) -> DataFrame:
                 out = [None if x is None else vocabulary.decode(np.frombuffer(x, "<u4"), np.frombuffer(o, "<u4") if o is not None else None) for x, o in zip(ids, offsets, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out, pa.binary())], [*keep, "decoded"])
 
-    return tokens.mapInArrow(run, T.StructType([*tokens.schema, T.StructField("decoded", T.BinaryType())]))
+    return by_batches(tokens, run, T.StructType([*tokens.schema, T.StructField("decoded", T.BinaryType())]))
 
 
 def op8_bpe(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import re
 import tempfile
@@ -10,13 +11,18 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of every contract here: `[\x20\x09-\x0D]`.
 BLANKS = " \t\n\x0b\x0c\r"
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
+#: Bytes of a batch that goes to a Python worker, where the session doesn't say; a larger row is a batch of its own.
+BATCH, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _scratch: dict[str, str] = {}
 
 
@@ -96,6 +102,26 @@ def adds(*names: str) -> Callable:
     return wrap
 
 
+def by_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` by batches of BATCH bytes, after which a worker gives back the memory it has freed.
+
+    Without a bound in bytes a batch is 10000 rows, however long their texts are, and both the executor and the worker
+    hold several forms of it. Workers wait for the next task with all that their allocators keep. The bound is a setting
+    of the session, set only where it is unset.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, BATCH)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+            trim(0)
+
+    return df.mapInArrow(tidy, schema)
+
+
 def word_pieces(text: str | None, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """The words `[^\\x20\\x09-\\x0D]+` of the A-Z lower-cased text in UTF-8, those of about ``size`` bytes at a time."""
     data, a = (text or "").encode().lower(), 0  # bytes.lower changes A-Z alone, bytes.split knows [\x20\x09-\x0D]

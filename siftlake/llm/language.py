@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlake.llm.common import adds, read
+from siftlake.llm.common import adds, by_batches, read
 
 #: Code points that are looked at together; a longer text is cut.
 CHUNK = 1 << 19
@@ -160,7 +160,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
             keys, times = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(times)], ["lang", "gram", "times"])
 
-    counted = rows.where(F.col("h") <= max(edges.values(), default=0)).mapInArrow(chosen, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
+    counted = by_batches(rows.where(F.col("h") <= max(edges.values(), default=0)), chosen, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "lang").collect()}
     names, words = tuple(totals), max(1, -(-len(totals) // 64))
     masks = np.zeros((size, words), np.uint64)
@@ -178,7 +178,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
                 repeat = lambda c: pa.array(np.tile(batch.column(c).to_numpy(zero_copy_only=False), probes))  # noqa: B023,E731
                 yield pa.RecordBatch.from_arrays([pa.array(at), repeat("word"), repeat("mask")], ["slot", "word", "mask"])
 
-        filled = masked.mapInArrow(place, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        filled = by_batches(masked, place, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
         masks[filled.column("slot").to_numpy(), filled.column("word").to_numpy()] = filled.column("mask").to_numpy().view(np.uint64)
     share = np.array([((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(names))])
     return Languages(names, masks, np.minimum(share**probes, 0.99), probes)
@@ -204,7 +204,7 @@ def identify(docs: DataFrame, model: Languages, text: str = "text") -> DataFrame
                 got = shared.value.predict(part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return by_batches(docs, run, T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def op4_language(spark, sf_dir):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlake.llm.common import adds, discard, flag_in_filter, materialise, slot_filter, word_pieces
+from siftlake.llm.common import adds, by_batches, discard, flag_in_filter, materialise, slot_filter, word_pieces
 from siftlake.llm.components import components
 from siftlake.llm.simhash import MIX, STRIDE, near_links
 
@@ -115,7 +115,7 @@ def _counters(sets: DataFrame) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
 
-    got = sets.select("shingles").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = by_batches(sets.select("shingles"), run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(COUNTERS, np.int64)
     out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     return out
@@ -132,7 +132,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
                 near = [similar(a, b, share) for a, b in zip(_sets(part.column("of_u")), _sets(part.column("of_v")), strict=True)]
                 yield part.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    return materialise(both.mapInArrow(run, "u long, v long"), "near-links")
+    return materialise(by_batches(both, run, "u long, v long"), "near-links")
 
 
 def similar_links(reps: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -245,7 +245,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sets, pa.binary()), pa.array(prints, pa.list_(pa.int64()))], [*columns, "__set", "__fps"])
 
     schema = T.StructType([*docs.schema, T.StructField("__set", T.BinaryType()), T.StructField("__fps", T.ArrayType(T.LongType()))])
-    marked = materialise(docs.mapInArrow(mark, schema).withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    marked = materialise(by_batches(docs, mark, schema).withColumn("__row", F.monotonically_increasing_id()), "near-rows")
     first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("__row").alias("row"))).alias("first")
     classes = marked.groupBy("__set").agg(first, F.count(F.lit(1)).alias("rows"), F.first("__fps").alias("fps"))
     classes = materialise(classes.select("__set", "first", "rows", "fps", F.col("first.row").alias("node")), "near-classes")
@@ -258,7 +258,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
 
     flagged = flag_in_filter(marked.select("__row", text), "__row", slot_filter(groups, "node", SLOTS), SLOTS, "__may").where("__may")
     asked = flagged.join(groups, flagged["__row"] == groups["node"]).select("node", "group", text)
-    sets = materialise(asked.mapInArrow(shingles, "node long, group long, shingles binary"), "near-sets")
+    sets = materialise(by_batches(asked, shingles, "node long, group long, shingles binary"), "near-sets")
     counters = docs.sparkSession.sparkContext.broadcast(_counters(sets))  # COUNTERS * 8 bytes
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +275,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("group"), pa.array(sizes, pa.int64()), pa.array(weights, pa.int64()), pa.array(out, pa.list_(pa.int64())), *map(pa.array, columns_of)], ["node", "group", "n", "weight", "prefix", *names])
 
     names = [f"s{i}" for i in range(SKETCH)]
-    reps = materialise(sets.mapInArrow(prefixes, "node long, group long, n long, weight long, prefix array<long>, " + ", ".join(f"{c} long" for c in names)), "near-prefixes")
+    reps = materialise(by_batches(sets, prefixes, "node long, group long, n long, weight long, prefix array<long>, " + ", ".join(f"{c} long" for c in names)), "near-prefixes")
     label = components(similar_links(reps, sets, share))
 
     named = materialise(classes.drop("fps").join(label, "node", "left").select("__set", "first", "rows", F.col("label").isNotNull().alias("linked"), F.coalesce("label", "node").alias("label")), "near-named")

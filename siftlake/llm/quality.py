@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlake.llm.common import adds, read
+from siftlake.llm.common import adds, by_batches, read
 
 #: Bytes that are counted at once.
 PIECE = 1 << 18
@@ -194,7 +194,7 @@ def _featured(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
             rows = [features(t.as_py()).tobytes() for t in batch.column(text)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(rows, pa.binary())], [*keep, "features"])
 
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField("features", T.BinaryType())]))
+    return by_batches(docs, run, T.StructType([*(docs.schema[c] for c in keep), T.StructField("features", T.BinaryType())]))
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = 6000, **how) -> Ranking:
@@ -230,7 +230,7 @@ def classify(docs: DataFrame, model: Ranking, text: str = "text") -> DataFrame:
                 score = model.score(np.stack([features(t.as_py()) for t in part.column(text)]))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(score, pa.float64()), pa.array((score >= CUT).astype(np.int32), pa.int32())], [*keep, "score", "predicted"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return by_batches(docs, run, T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def _held_out(doc_id: str = "doc_id"):

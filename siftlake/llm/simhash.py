@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlake.llm.common import adds, discard, materialise, read, word_pieces
+from siftlake.llm.common import adds, by_batches, discard, materialise, read, word_pieces
 from siftlake.llm.components import components
 
 #: Shingles whose bits are counted at once, node pairs that one step of the walk expands, and values that it compares at once.
@@ -57,7 +57,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", words: int = 3, to: st
             bits = np.array([fingerprint(t, words) for t in batch.column(text).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(bits.view(np.int64))], [*keep, to])
 
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField(to, T.LongType())]))
+    return by_batches(docs, run, T.StructType([*(docs.schema[c] for c in keep), T.StructField(to, T.LongType())]))
 
 
 def walk(a: np.ndarray, b: np.ndarray, budget: int, depth: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -243,7 +243,7 @@ def near_links(prints: DataFrame, budget: int = 3, most: int | None = None, step
                 u, v = all_values[root[linked]].view(np.int64), all_values[linked].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), seed, np.int32)), pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["seed", "u", "v"])
 
-    return work.mapInArrow(run, "seed int, u long, v long")
+    return by_batches(work, run, "seed int, u long, v long")
 
 
 @adds("fingerprint", "component_id", "kept")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlake.llm.common import adds, flag_in_filter, materialise, read, scratch_folder, slot_filter
+from siftlake.llm.common import adds, by_batches, flag_in_filter, materialise, read, scratch_folder, slot_filter
 from siftlake.sources.files import opened
 
 #: Bytes asked of an archive at a time.
@@ -196,7 +196,7 @@ def write(pages: DataFrame, folder: str, html: str = "html", page_id: str = "pag
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "records"])
 
-    return materialise(rows.mapInArrow(run, "path string, records long"), "warc-archives")
+    return materialise(by_batches(rows, run, "path string, records long"), "warc-archives")
 
 
 def scan(archives: DataFrame, payloads: bool = True, rows: int = 64) -> DataFrame:
@@ -218,7 +218,7 @@ def scan(archives: DataFrame, payloads: bool = True, rows: int = 64) -> DataFram
                     if group:
                         yield pa.RecordBatch.from_pylist(group, types)
 
-    return wide.mapInArrow(run, RECORD)
+    return by_batches(wide, run, RECORD)
 
 
 def op2_warc(spark, sf_dir):
