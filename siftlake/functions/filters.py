@@ -5,6 +5,8 @@ So a byte of the filter at position p (bits 8 p to 8 p + 7) stands at offset (p
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,10 +14,19 @@ from siftlake.functions.options import MOST_BYTES
 from siftlake.functions.shape import Shape
 
 
+#: Fixed value: the bits of each byte code.
+_BITS_OF_CODE = [[b for b in range(8) if c >> b & 1] for c in range(256)]
+
+
+def once(value: Column, f) -> Column:
+    """``f(value)``, with the value computed once a row, however often and in whatever lambda ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _range(n: Column | int) -> Column:
     """0 to n - 1; empty for 0, where sequence() would count down."""
     n = F.lit(n) if isinstance(n, int) else n
-    return F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n)
+    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
 def _shifted(bit: Column) -> Column:
@@ -29,7 +40,8 @@ def byte_at(data: Column, offset: Column) -> Column:
 
 def words_of_bits(bits: Column, shape: Shape) -> Column:
     """Words of an array of bits, in the row."""
-    return F.transform(_range(shape.words), lambda w: F.aggregate(F.filter(bits, lambda b: (b / 64).cast("int") == w), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(_shifted(b % 64))))
+    put = lambda w: lambda acc, b: F.when(F.shiftright(b, 6) == w, acc.bitwiseOR(_shifted(b))).otherwise(acc)  # noqa: E731  a shift counts modulo 64
+    return once(bits, lambda bs: F.transform(_range(shape.words), lambda w: F.aggregate(bs, F.lit(0).cast("long"), put(w))))
 
 
 def encode_words(words: Column) -> Column:
@@ -58,13 +70,14 @@ def from_hex(text: Column) -> Column:
 
 def bits_of(data: Column) -> Column:
     """Ascending bits of a filter."""
-    return F.flatten(F.transform(codes(data), lambda c, p: F.transform(F.filter(_range(8), lambda b: F.call_function("shiftright", c, b).bitwiseAND(1) == 1), lambda b: (p * 8 + b).cast("long"))))
+    known = F.from_json(F.lit(json.dumps(_BITS_OF_CODE)), "array<array<int>>")  # a constant
+    return F.flatten(F.transform(codes(data), lambda c, p: F.transform(known[c], lambda b: (p * 8 + b).cast("long"))))
 
 
 def codes(data: Column) -> Column:
     """Bytes by position, the low byte of each word first; a trailing part of a word is left out; null is empty."""
-    n = (F.octet_length(data) / 8).cast("int") * 8
-    return F.coalesce(F.transform(_range(n), lambda p: byte_at(data, (p / 8).cast("int") * 8 + 7 - p % 8)), F.array().cast("array<int>"))
+    each = lambda w: F.array(*[F.shiftright(w, 8 * i).bitwiseAND(255).cast("int") for i in range(8)])
+    return F.flatten(F.transform(once(data, decode_words), each))
 
 
 def cardinality(data: Column) -> Column:
@@ -85,13 +98,17 @@ def bf_contains(candidate: Column, target: Column) -> Column:
 def bf_contains_words(candidate: Column, target: bytes) -> Column:
     """The same for a constant target of whole words and filters of one shape: eight bytes a step, no loop over bytes."""
     words = [int.from_bytes(target[i : i + 8], "big", signed=True) for i in range(0, len(target), 8)]
-    tests = F.lit(True)
-    for w, word in enumerate(words):
-        if word:
-            half = lambda at, w=w: F.conv(F.hex(F.substring(candidate, w * 8 + at, 4)), 16, 10).cast("long")
-            have = F.shiftleft(half(1), 32).bitwiseOR(half(5))
-            tests = tests & (have.bitwiseAND(F.lit(word)) == F.lit(word))
-    return F.coalesce(F.octet_length(candidate) >= len(target), F.lit(False)) & tests
+
+    def inside(data: Column) -> Column:
+        tests = F.lit(True)
+        for w, word in enumerate(words):
+            if word:
+                half = lambda at, w=w: F.conv(F.hex(F.substring(data, w * 8 + at, 4)), 16, 10).cast("long")
+                have = F.shiftleft(half(1), 32).bitwiseOR(half(5))
+                tests = tests & (have.bitwiseAND(F.lit(word)) == F.lit(word))
+        return F.coalesce(F.octet_length(data) >= len(target), F.lit(False)) & tests
+
+    return F.exists(F.array(candidate), inside)  # a filter made in the row is made once, not for each test
 
 
 def adjust(target: bytes, shape: Shape) -> bytes:

@@ -21,7 +21,7 @@ SEED = 104729
 
 def java_trim(text: Column) -> Column:
     """Without leading and trailing characters up to U+0020."""
-    return F.regexp_replace(text, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", "")
+    return F.btrim(text, F.lit("".join(map(chr, range(0x21)))))
 
 
 def md5_bits(items: Column, shape: Shape) -> Column:
@@ -30,10 +30,12 @@ def md5_bits(items: Column, shape: Shape) -> Column:
     Everything stays in the row and in built-in functions: no explode, no shuffle, no Python.
     """
     digests = F.transform(F.filter(items, lambda x: x.isNotNull() & (x != "")), lambda x: F.md5(x.cast("binary")))
-    half = lambda d, a: F.conv(F.substring(d, a, 15), 16, 10).cast("long") % shape.m
+    # of a number modulo a power of two, the last digits tell
+    digits = 15 if shape.m & (shape.m - 1) else max(1, min(15, -(-(shape.m.bit_length() - 1) // 4)))
+    half = lambda d, a: F.conv(F.substring(d, a + 15 - digits, digits), 16, 10).cast("long") % shape.m
     pairs = F.transform(digests, lambda d: F.struct(half(d, 1).alias("a"), half(d, 16).alias("b")))
     each = F.transform(pairs, lambda s: F.array(*[(s["a"] + i * s["b"]) % shape.m for i in range(shape.k)]))
-    return F.array_sort(F.array_distinct(F.flatten(each)))
+    return F.sort_array(F.array_distinct(F.flatten(each)))
 
 
 def _rotated(x: np.ndarray, r: int) -> np.ndarray:

@@ -15,7 +15,7 @@ from siftlake.operators import slices as S
 from siftlake.operators.items import chunks_of_items, words
 from siftlake.plans import catalog, console
 from siftlake.plans.catalog import ChunkIndex, SliceIndex
-from siftlake.plans.queries import CHANGED, CHUNKS, HITS, IDS, KEY, LAST, PART, SEARCH, SHAPE, TARGET, WIDE, _bits, _changed, _numbered, _typed, _wanted, keyed, parts, query, table, target
+from siftlake.plans.queries import CHANGED, CHUNKS, HITS, IDS, KEY, LAST, PART, SEARCH, SHAPE, TARGET, WIDE, _bits, _changed, _numbered, _typed, _wanted, kept, kept_index, keyed, parts, query, stored_parts, table, target
 from siftlake.plans.workspace import workspace
 from siftlake.sources import filter_source, geonames
 from siftlake.streaming.maintain import StreamedIndex
@@ -30,8 +30,8 @@ def _named(path: str, df: DataFrame, *columns: str) -> DataFrame:
 @query(f"{SEARCH} SELECT path, p_partkey FROM hits, {PATHS} WHERE path NOT IN ('scan', 'slices')")
 def search_repeated_keys(spark, sf_dir):
     """Every key has each of its index rows three times over, and is found once by every path."""
-    base = parts(spark, sf_dir)
-    index, t = C.chunks(flow.and_then(base, base, base), KEY), target(*TARGET)
+    base = stored_parts(spark, sf_dir, "repeated-base")
+    index, t = kept_index(C.chunks(flow.and_then(base, base, base), KEY), "repeated-chain"), target(*TARGET)
     stored = ChunkIndex(spark, workspace(spark, "repeated"), KEY).build(flow.and_then(base, base))
     asked = spark.createDataFrame([(0, bytearray(t))], "query_id int, target binary")
     found = {"chunks": C.search(index, KEY, t), "chain": C.search_chain(index, KEY, t), "many": C.search_many(index, KEY, asked), "stored": stored.search(t)}
@@ -59,7 +59,7 @@ def search_zero_target_paths(spark, sf_dir):
 
 @query(f"{SEARCH} SELECT path, p_partkey FROM hits, (VALUES ('chunks'), ('chunks, scanned'), ('slices'), ('slices, scanned'), ('measured')) v(path)")
 def planner_choice(spark, sf_dir):
-    base, t = parts(spark, sf_dir), target(*TARGET)
+    base, t = stored_parts(spark, sf_dir, "choice"), target(*TARGET)
     chunked, sliced = ChunkIndex(spark, workspace(spark, "choice-chunks"), KEY).build(base), SliceIndex(spark, workspace(spark, "choice-slices"), KEY, SHAPE).build(base)
     found = [_named(n + how, catalog.search(base, t, KEY, index, rows)) for n, index in (("chunks", chunked), ("slices", sliced)) for how, rows in (("", 10**6), (", scanned", 1))]
     return reduce(DataFrame.unionByName, [*found, _named("measured", catalog.search(base, t, KEY, chunked))])

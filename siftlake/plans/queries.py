@@ -50,6 +50,30 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_filter(table(spark, sf_dir, "part"), part_items(), SHAPE)
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, stored: what several jobs read is made once."""
+    folder = workspace(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by their keys: a file of a few MB is one split, and filters of all its rows would be made by one task."""
+    return table(spark, sf_dir, "part").repartition(*KEY)
+
+
+def stored_parts(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """A base table (key, filter), for indexes that are built from it and scans beside them."""
+    return kept(with_filter(spread(spark, sf_dir), part_items(), SHAPE).select(*KEY, "filter"), label)
+
+
+def kept_index(index: DataFrame, label: str) -> DataFrame:
+    """A chunk index stored by position, for searches that read a position at a time."""
+    folder = workspace(index.sparkSession, label)
+    index.write.partitionBy("position").parquet(folder)
+    return index.sparkSession.read.schema(index.schema).parquet(folder).select(*index.columns)
+
+
 def target(*items: str, shape: Shape = SHAPE) -> bytes:
     return B.bytes_of_bits(md5_item_bits(items, shape), shape)
 
@@ -318,7 +342,7 @@ news AS (SELECT p_partkey AS k, unnest(list_concat(string_split(p_name, ' '), [p
 
 def _changed(spark, sf_dir):
     renewed = F.when(F.col("p_partkey") % 3 == 0, F.lit("RENEWED")).otherwise(F.col("p_type"))
-    return with_filter(table(spark, sf_dir, "part").withColumn("p_type", renewed), part_items(), SHAPE)
+    return with_filter(spread(spark, sf_dir).withColumn("p_type", renewed), part_items(), SHAPE)
 
 
 @query(f"""
@@ -497,7 +521,8 @@ def datasource_eq_pushdown(spark, sf_dir):
 
 @query(f"{SEARCH} SELECT p_partkey FROM hits")
 def gated_search(spark, sf_dir):
-    return C.search_chain(C.chunks(parts(spark, sf_dir), KEY), KEY, target(*TARGET))
+    base = with_filter(spread(spark, sf_dir), part_items(), SHAPE)
+    return C.search_chain(kept_index(C.chunks(base, KEY), "gated"), KEY, target(*TARGET))
 
 
 @query(f"{SEARCH} SELECT p_partkey FROM hits")
