@@ -263,7 +263,7 @@ def rank_by_kind(spark, sf_dir):
 def phrase_search_stored(spark, sf_dir):
     """The index of the documents' words is built once and stored; the search reads the target's positions of it alone."""
     docs, folder = table(spark, sf_dir, "documents").select("doc_id", "text"), workspace(spark, "phrases")
-    chunks_of_items(docs, ["doc_id"], words(F.col("text")), WIDE).repartition(8, "position").sortWithinPartitions("position", "code").write.parquet(folder)
+    chunks_of_items(docs, ["doc_id"], words(F.col("text")), WIDE).hint("rebalance", "position").sortWithinPartitions("position", "code").write.parquet(folder)
     own = F.split("text", " ")
     exact = F.array_contains(own, "the") & F.array_contains(own, "and")
     return C.search_verified(docs, spark.read.parquet(folder), ["doc_id"], target("the", "and", shape=WIDE), exact).select("doc_id")
