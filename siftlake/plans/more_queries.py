@@ -51,7 +51,7 @@ def search_partition_granularity(spark, sf_dir):
 @query("SELECT 'slices' AS path, p_partkey FROM part UNION ALL SELECT 'slices, scanned', p_partkey FROM part")
 def search_zero_target_paths(spark, sf_dir):
     """A target without bits finds by index what it finds by scan: nothing by chunks, all by slices."""
-    base, t = parts(spark, sf_dir), bytes(16)
+    base, t = stored_parts(spark, sf_dir, "zero"), bytes(16)
     chunked, sliced = ChunkIndex(spark, workspace(spark, "zero-chunks"), KEY).build(base), SliceIndex(spark, workspace(spark, "zero-slices"), KEY, SHAPE).build(base)
     found = [_named(n + how, catalog.search(base, t, KEY, index, rows)) for n, index in (("chunks", chunked), ("slices", sliced)) for how, rows in (("", 10**6), (", scanned", 1))]
     return reduce(DataFrame.unionByName, found)
