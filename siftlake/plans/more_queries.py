@@ -101,7 +101,7 @@ def stored_slice_changes(spark, sf_dir):
 
 @query("SELECT path, kept::BIGINT AS kept FROM (VALUES ('chunks', 0), ('slices', 0)) v(path, kept)")
 def stored_truncate(spark, sf_dir):
-    base = parts(spark, sf_dir)
+    base = stored_parts(spark, sf_dir, "cut")
     both = {"chunks": ChunkIndex(spark, workspace(spark, "cut-chunks"), KEY), "slices": SliceIndex(spark, workspace(spark, "cut-slices"), KEY, SHAPE)}
     out = []
     for name, index in both.items():
