@@ -98,16 +98,18 @@ def filters_back(matrix: DataFrame) -> DataFrame:
     return each.where(F.getbit("word", "at") == 1).select((F.col("block") * 64 + F.col("at")).alias("idx"), "bit")
 
 
-def allocate(live: DataFrame, new: DataFrame, by: str, ranges: int = 128) -> DataFrame:
+def allocate(live: DataFrame | None, new: DataFrame, by: str, ranges: int = 128, words: DataFrame | None = None) -> DataFrame:
     """(by, idx) for new keys: the lowest ids not in live(idx), in the order of ``by``, then ids after the highest.
 
+    ``words``: the busy words (block, word) of the live ids, where they are known.
+
     The n-th new key takes the n-th free id. A free id's number is the free ids of earlier groups of 4096 blocks, of
     earlier blocks of its group, and of its own word before it, so no task counts them all.
     """
-    words = busy(live)
+    words = busy(live) if words is None else words
     held = words.agg(F.coalesce(F.max("block") + 1, F.lit(0)).alias("blocks"), F.coalesce(F.sum(F.bit_count("word")), F.lit(0)).alias("live")).first()
     top, many = held["blocks"], held["blocks"] * 64 - held["live"]
-    blocks = live.sparkSession.range(top).select(F.col("id").alias("block")).join(words, "block", "left")
+    blocks = new.sparkSession.range(top).select(F.col("id").alias("block")).join(words, "block", "left")
     free = blocks.select("block", (F.col("block") / 4096).cast("long").alias("group"), F.bitwise_not(F.coalesce("word", F.lit(0).cast("long"))).alias("word")).withColumn("n", F.bit_count("word"))
     earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     groups = free.groupBy("group").agg(F.sum("n").alias("n")).select("group", earlier(W.orderBy("group")).alias("before"))

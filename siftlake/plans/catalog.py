@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -64,6 +65,16 @@ class _Stored:
     def drop(self) -> None:
         remove(self.spark, self.path)
 
+    @contextmanager
+    def _kept(self, rows: DataFrame):
+        """``rows`` written below the index for as long as a change reads them, which is several times."""
+        folder = f"{self.path}/change-{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(folder)
+            yield self.spark.read.parquet(folder)
+        finally:
+            remove(self.spark, folder)
+
     def _discard(self, generations: list) -> None:
         for g in generations:
             remove(self.spark, g if isinstance(g, str) else g["folder"])
@@ -232,7 +243,9 @@ class SliceIndex(_Stored):
         out = None
         for ids, matrix, busy in self._generations():
             if name == "ids":
-                part = ids.join(S.ids_in(busy), "idx", "left_semi")
+                held = busy.withColumnRenamed("block", "__block").withColumnRenamed("word", "__word")  # a row for 64 ids
+                at = ids.join(held, (F.col("idx") / 64).cast("long") == F.col("__block"))
+                part = at.where(F.getbit("__word", (F.col("idx") % 64).cast("int")) == 1).select(*ids.columns)
             elif name == "busy":
                 part = busy
             else:
@@ -264,8 +277,8 @@ class SliceIndex(_Stored):
             return rows.where(F.lit((self.options.zero_target if self.options else "all") == "all"))
         return rows.where(bf_contains_words(F.col(data), bytes_of_bits(bits, self.shape)))
 
-    def _released(self, gone: DataFrame) -> list[dict]:
-        """The generations after the rows of the keys ``gone`` went."""
+    def _released(self, held: DataFrame) -> list[dict]:
+        """The generations after the live ids ``held`` (idx) went. Where an id isn't live its bit is 0 already."""
         _, note = self._note()
         out = []
         for g, (ids, _, busy) in zip(note["generations"], self._generations(), strict=True):
@@ -282,26 +295,37 @@ class SliceIndex(_Stored):
         if not note["generations"]:
             self._put([self._write(S.ranked(new, self.key[0]))] if not new.isEmpty() else [], key=note.get("key", {}))
             return
-        known = self.table("ids")
-        old = new.join(known, list(self.key))
-        fresh = new.join(known.select(*self.key), list(self.key), "left_anti")
-        if len(self.key) > 1:
-            fresh = fresh.withColumn("__key", F.to_json(F.struct(*self.key)))
-        by = "__key" if len(self.key) > 1 else self.key[0]
-        given = S.allocate(known.select("idx"), fresh.select(by), by)
-        rows = old.select(*self.key, "filter", "idx").unionByName(fresh.join(given, by).select(*self.key, "filter", "idx"))
-        added = self._write(rows)
-        self._put([*self._released(new), added])
-        if len(note["generations"]) + 1 > MOST_GENERATIONS:
-            self.compact()
+        self._change(new.join(self.table("ids"), list(self.key), "left"))
 
     def update(self, rows: DataFrame, data: str = "filter") -> None:
         """The same for those keys only that the index has."""
-        self.insert(rows.join(self.table("ids").select(*self.key), list(self.key), "left_semi"), data)
+        self._change(self._rows(rows, data).join(self.table("ids"), list(self.key)))
+
+    def _change(self, found: DataFrame) -> None:
+        """Write ``found`` (key, filter, idx), whose idx is null where the key is new, as a generation."""
+        _, note = self._note()
+        with self._kept(found.select(*self.key, "filter", "idx")) as kept:
+            old, fresh = kept.where(F.col("idx").isNotNull()), kept.where(F.col("idx").isNull()).drop("idx")
+            rows = old
+            if not fresh.isEmpty():
+                if len(self.key) > 1:
+                    fresh = fresh.withColumn("__key", F.to_json(F.struct(*self.key)))
+                by = "__key" if len(self.key) > 1 else self.key[0]
+                given = S.allocate(None, fresh.select(by), by, words=self.table("busy"))
+                rows = old.unionByName(fresh.join(given, by).select(*self.key, "filter", "idx"))
+            added = self._write(rows)
+            self._put([*self._released(old.select("idx")), added])
+        if len(note["generations"]) + 1 > MOST_GENERATIONS:
+            self.compact()
 
     def delete(self, keys: DataFrame) -> None:
         """Their ids are free for later keys."""
-        self._put(self._released(keys))
+        _, note = self._note()
+        if not note["generations"]:
+            self._put([])
+            return
+        with self._kept(self.table("ids").join(keys.select(*self.key), list(self.key), "left_semi").select("idx")) as held:
+            self._put(self._released(held))
 
     def truncate(self) -> None:
         _, note = self._note()

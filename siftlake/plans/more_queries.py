@@ -73,7 +73,7 @@ SELECT p_partkey FROM hits WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey +
 
 def _lived(index, spark, sf_dir):
     """Build, update, delete, insert and compact through objects of their own, so that each finds what the last one wrote."""
-    old, new = parts(spark, sf_dir), _changed(spark, sf_dir)
+    old, new = stored_parts(spark, sf_dir, "lived-old"), kept(_changed(spark, sf_dir).select(*KEY, "filter"), "lived-new")
     index().build(old)
     index().update(new.where("p_partkey % 3 = 0"))
     index().update(new.select((-F.col("p_partkey") - 1).alias("p_partkey"), "filter"))  # not there: nothing comes of it
