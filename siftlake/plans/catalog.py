@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.functions.filters import adjust, bf_contains_words, bits_of_bytes, bytes_of_bits, checked
+from siftlake.functions.filters import adjust, bf_contains_words, bits_of_bytes, bytes_of_bits, checked, decode_words
 from siftlake.functions.options import MOST_BYTES, ChunkOptions, SliceOptions
 from siftlake.functions.shape import Shape
 from siftlake.operators import chunks as C
@@ -82,8 +82,8 @@ class _Stored:
 
 @dataclass
 class ChunkIndex(_Stored):
-    """A chunk index below ``path``. A generation has index rows, partitioned by position and sorted by code, and the keys
-    whose rows in earlier generations are gone.
+    """A chunk index below ``path``. A generation has index rows, partitioned by position and sorted by code, the keys
+    that have any, and the keys whose rows in earlier generations are gone.
 
     ``partition``: columns of the key that name a whole partition, for searches of that granularity.
     """
@@ -105,6 +105,7 @@ class ChunkIndex(_Stored):
         if rows is not None:
             index = C.chunks(rows.withColumn(data, checked(F.col(data))), self.key, data)
             index.repartition("position", "code").sortWithinPartitions("position", "code").write.partitionBy("position").parquet(f"{folder}/rows")
+            rows.where(F.exists(decode_words(F.col(data)), lambda w: w != 0)).select(*self.key).write.parquet(f"{folder}/keys")
         if gone is not None:
             gone.select(*self.key).distinct().write.parquet(f"{folder}/gone")
         self._put([*note["generations"], folder])
@@ -116,19 +117,34 @@ class ChunkIndex(_Stored):
 
         Filters on position and code reach each generation's scan, so a search joins few rows with the keys gone.
         """
+        out = self._holding(lambda folder: self.spark.read.parquet(f"{folder}/rows").select(*self.key, F.col("position").cast("int").alias("position"), "code"))
+        if out is None:
+            fields = ", ".join(f"`{k}` {t}" for k, t in self._key_types().items())
+            out = self.spark.createDataFrame([], f"{fields}, position int, code int")
+        return out
+
+    def keys(self) -> DataFrame:
+        """Keys that have index rows, by a row a key instead of one for each byte of its filter."""
+
+        def of(folder: str) -> DataFrame:
+            stored = size(self.spark, f"{folder}/keys") > 0  # a generation written before keys were has none
+            return self.spark.read.parquet(f"{folder}/{'keys' if stored else 'rows'}").select(*self.key)
+
+        out = self._holding(of)
+        return self.table().select(*self.key) if out is None else out
+
+    def _holding(self, read) -> DataFrame | None:
+        """What ``read`` gives of each generation's folder, without the keys that later ones have done away with."""
         _, note = self._note()
         out, gone = None, None
         for folder in reversed(note["generations"]):
             if size(self.spark, f"{folder}/rows"):  # a partitioned table without rows has no files
-                rows = self.spark.read.parquet(f"{folder}/rows").select(*self.key, F.col("position").cast("int").alias("position"), "code")
+                rows = read(folder)
                 rows = rows if gone is None else rows.join(gone, list(self.key), "left_anti")
                 out = rows if out is None else out.unionByName(rows)
             if size(self.spark, f"{folder}/gone"):
                 keys = self.spark.read.parquet(f"{folder}/gone").select(*self.key)
                 gone = keys if gone is None else gone.union(keys)
-        if out is None:
-            fields = ", ".join(f"`{k}` {t}" for k, t in self._key_types().items())
-            out = self.spark.createDataFrame([], f"{fields}, position int, code int")
         return out
 
     def _key_types(self) -> dict[str, str]:
@@ -142,17 +158,18 @@ class ChunkIndex(_Stored):
 
     def insert(self, rows: DataFrame, data: str = "filter") -> None:
         """Write rows (key, filter): whatever their keys had goes. Keys that are new are just added."""
-        self._add(rows, rows, data)
+        with self._kept(rows.select(*self.key, data)) as kept:
+            self._add(kept, kept, data)
 
     def update(self, rows: DataFrame, data: str = "filter") -> None:
         """The same for those keys only that the index has."""
-        self.insert(rows.join(self.table().select(*self.key).distinct(), list(self.key), "left_semi"), data)
+        self.insert(rows.join(self.keys(), list(self.key), "left_semi"), data)
 
     def delete(self, keys: DataFrame) -> None:
         """Do away with keys, or with whole partitions if ``keys`` has only their columns."""
         if set(self.key) - set(keys.columns):
             named = [k for k in self.key if k in keys.columns]
-            keys = self.table().select(*self.key).join(keys.select(*named), named, "left_semi")
+            keys = self.keys().join(keys.select(*named), named, "left_semi")
         self._add(None, keys)
 
     def delete_range(self, condition: Column) -> None:
@@ -163,6 +180,7 @@ class ChunkIndex(_Stored):
         _, note = self._note()
         folder = self._folder()
         self.table().repartition("position", "code").sortWithinPartitions("position", "code").write.partitionBy("position").parquet(f"{folder}/rows")
+        self.keys().distinct().write.parquet(f"{folder}/keys")
         self._put([folder], key=self._key_types())
         self._discard(note["generations"])
 
@@ -281,9 +299,8 @@ class SliceIndex(_Stored):
         """The generations after the live ids ``held`` (idx) went. Where an id isn't live its bit is 0 already."""
         _, note = self._note()
         out = []
-        for g, (ids, _, busy) in zip(note["generations"], self._generations(), strict=True):
-            held = ids.join(gone.select(*self.key), list(self.key), "left_semi").select("idx")
-            at = f"{g['folder']}/busy-{uuid.uuid4().hex}"
+        for g in note["generations"]:
+            busy, at = self.spark.read.parquet(g["busy"]), f"{g['folder']}/busy-{uuid.uuid4().hex}"
             maintain.release(busy, held).where("word <> 0").write.parquet(at)
             out.append({"folder": g["folder"], "busy": at})
         return out
